@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from tessella.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessella.llm.mixing import OP5_SQL, op5_mix_sources
+from tessella.llm.packing import op3_pack
 from tessella.llm.sharding import op10_shard_documents
+from tessella.llm.token_counts import op4_token_counts
+from tessella.llm.topk import OP1_SQL, op1_top_k
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
+    "op3_pack": op3_pack,
+    "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_shard_documents": op10_shard_documents,
 }
 
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op1_top_k": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}
