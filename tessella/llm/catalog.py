@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessella.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tessella.llm.html_text import op7_main_text
+from tessella.llm.lm_scoring import op8_lm_scores
 from tessella.llm.mixing import OP5_SQL, op5_mix_sources
 from tessella.llm.packing import op3_pack
 from tessella.llm.sharding import op10_shard_documents
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_main_text": op7_main_text,
+    "op8_lm_scores": op8_lm_scores,
     "op10_shard_documents": op10_shard_documents,
 }
 
