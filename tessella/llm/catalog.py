@@ -7,12 +7,14 @@ from tessella.llm.html_text import op7_main_text
 from tessella.llm.lm_scoring import op8_lm_scores
 from tessella.llm.mixing import OP5_SQL, op5_mix_sources
 from tessella.llm.packing import op3_pack
+from tessella.llm.quality import op2_quality_pu
 from tessella.llm.sharding import op10_shard_documents
 from tessella.llm.token_counts import op4_token_counts
 from tessella.llm.topk import OP1_SQL, op1_top_k
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_quality_pu": op2_quality_pu,
     "op3_pack": op3_pack,
     "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
