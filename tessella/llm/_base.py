@@ -57,4 +57,20 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(bare, f"[^{SPACE}]+[{SPACE}]*", "x")).cast("long")
 
 
+HOT_SHARE, HOT_LEAST = 1000, 500
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, rows_of: str) -> DataFrame:
+    """rows joined with keyed, which has each key once and, in the column rows_of, how many rows have it.
+
+    Keys with more than 1/1000 of the rows (500 at least) are joined by broadcast; there are fewer than 1000 of them.
+    The rest meet in a shuffle, in which no key is large.
+    """
+    total = keyed.agg(F.coalesce(F.sum(rows_of), F.lit(0))).first()[0]
+    hot = F.col(rows_of) > max(HOT_LEAST, total // HOT_SHARE)
+    by_hot = rows.join(F.broadcast(keyed.where(hot)), key)
+    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
+    return by_hot.unionByName(cold.join(keyed.where(~hot), key))
+
+
 ship(__name__)

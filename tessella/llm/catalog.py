@@ -6,6 +6,7 @@ from tessella.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessella.llm.html_text import op7_main_text
 from tessella.llm.lm_scoring import op8_lm_scores
 from tessella.llm.mixing import OP5_SQL, op5_mix_sources
+from tessella.llm.ngram_join import op9_ngram_join
 from tessella.llm.packing import op3_pack
 from tessella.llm.quality import op2_quality_pu
 from tessella.llm.sharding import op10_shard_documents
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_main_text": op7_main_text,
     "op8_lm_scores": op8_lm_scores,
+    "op9_ngram_join": op9_ngram_join,
     "op10_shard_documents": op10_shard_documents,
 }
 
