@@ -73,4 +73,22 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, rows_of: str) -> DataFra
     return by_hot.unionByName(cold.join(keyed.where(~hot), key))
 
 
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """docs but for the rows whose keys (expressions over docs) equal those of a row of dropped; nulls equal nulls.
+
+    A list of up to BROADCAST_ROWS is broadcast, so that documents need not be shuffled; a longer one is joined.
+    """
+    gone = stored(dropped.select(*[F.col(k).alias(f"__gone_{k}") for k in keys]).distinct(), "gone")
+    own = docs.withColumns({f"__own_{k}": c for k, c in keys.items()})
+    same = None
+    for k in keys:
+        one = F.col(f"__own_{k}").eqNullSafe(F.col(f"__gone_{k}"))
+        same = one if same is None else same & one
+    small = gone.count() <= BROADCAST_ROWS
+    return own.join(F.broadcast(gone) if small else gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ship(__name__)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import SPACE, stored, table, text_or_empty, work_path
+from tessella.llm._base import SPACE, stored, table, text_or_empty, without, work_path
 
 HOT_SHARE = 1000  # a digest with more than 1/1000 of the rows is joined by broadcast; there are at most 1000 of those
 HOT_LEAST = 500
@@ -74,6 +74,24 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return (index or DigestIndex(docs.sparkSession)).add(docs)
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with all their columns, but of equal texts only the row with the smallest doc_id. Null ids come last; of rows that repeat both, one stays."""
+    seen = exact_dedup(docs.select("doc_id", "text"))
+    keys = {"id": F.col("doc_id").cast("long"), "digest": text_digest()}
+    seen = seen.select(F.col("doc_id").alias("id"), "digest", "kept")
+    # of rows with one id and one digest, the kept one has twins that its key would not tell from it
+    by_key = stored(seen.groupBy("id", "digest").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "dedup-keys")
+    out = without(docs, by_key.where(~F.col("kept")), keys)
+    twins = by_key.where(F.col("kept") & (F.col("rows") > 1)).select("id", "digest")
+    if twins.isEmpty():
+        return out
+    rest = without(out, twins, keys)
+    marked = out.withColumns({f"__{k}": c for k, c in keys.items()})
+    t = twins.select(F.col("id").alias("__t_id"), F.col("digest").alias("__t_digest"))
+    one = marked.join(t, F.col("__id").eqNullSafe(F.col("__t_id")) & (F.col("__digest") == F.col("__t_digest")), "left_semi").dropDuplicates(["__id", "__digest"])
+    return rest.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

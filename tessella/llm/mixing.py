@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,22 +42,19 @@ def _on_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     return rows.join(F.broadcast(s) if small else s, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), most: int = 3, bits: int = BITS, levels: int = LEVELS) -> DataFrame:
-    """Choose how often each document is taken so that each source's words come near its target.
+def _hash(bits: int, levels: int) -> Column:
+    """The first bits of the MD5 of doc_id; a null id counts as the empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, bits * levels // 4), 16, 10).cast("long")
 
-    docs: doc_id, text, source; other columns are ignored. Returns doc_id, source, size, source_size, target, repeats,
-    taken. A document is taken `repeats of its source` times, and once more if its hash lies below the source's
-    threshold. The threshold is found without sorting: a histogram of words over source and the first `bits` of the
-    hash gives the bucket where the budget ends; only that bucket is split by the next bits, `levels` times; the last
-    bucket goes in if that comes nearer. Thresholds are nested: a larger budget takes a superset.
 
-    Null text has size 0 and null source is a source of its own. The hash is of doc_id alone, so rows that repeat a
-    doc_id are taken alike; reruns agree. A source of size 0 has target 0; an empty table gives an empty result. A
-    bucket is summed before any shuffle, so a source that holds most rows costs no more than another.
+def source_cuts(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), most: int = 3, bits: int = BITS, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, source, size, hash) of every document; (source, source_size, target, repeats, cut) of every source; whether the sources may be broadcast.
+
+    A document is taken `repeats` times, and once more if its hash lies below `cut`. The cut is found without sorting:
+    a histogram of words over source and the first `bits` of the hash gives the bucket where the budget ends; only
+    that bucket is split by the next bits, `levels` times; the last bucket goes in if that comes nearer.
     """
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    digits = bits * levels // 4
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.conv(F.substring(F.md5(id_text), 1, digits), 16, 10).cast("long").alias("hash"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), _hash(bits, levels).alias("hash"))
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     edge = stored(source_targets(sizes, weights, most), "mix-targets")
@@ -68,20 +65,42 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), most: in
         shift = bits * (levels - 1 - level)
         inside = _on_source(rows, edge.select("source", "prefix"), small).where(F.shiftright("hash", shift + bits) == F.col("prefix"))
         hist = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
-        kept = [c for c in ("source", "source_size", "target", "repeats", "budget", "spent", "prefix")]
-        hist = _on_source(hist, edge.select(*kept), small)
+        hist = _on_source(hist, edge.select("source", "budget", "spent"), small)
         upto = F.sum("words").over(W.partitionBy("source").orderBy("bucket")) + F.col("spent")
         hist = hist.withColumn("upto", upto).where((F.col("upto") - F.col("words") <= F.col("budget")) & (F.col("budget") < F.col("upto")))
         found = hist.select(F.col("source").alias("f_source"), F.col("bucket").alias("f_prefix"), (F.col("upto") - F.col("words")).alias("f_spent"), F.col("words").alias("f_last"))
         edge = edge.join(found, F.col("source").eqNullSafe(F.col("f_source")), "left").select("source", "source_size", "target", "repeats", "budget", F.coalesce("f_prefix", F.lit(-1)).alias("prefix"), F.coalesce("f_spent", F.lit(0)).alias("spent"), F.coalesce("f_last", F.lit(0)).alias("last"))
         edge = stored(edge, f"mix-edge{level}")
     with_last = F.col("spent") + F.col("last") - F.col("budget") < F.col("budget") - F.col("spent")
-    cut = edge.select("source", "source_size", "target", "repeats", F.when(F.col("prefix") < 0, 0).otherwise(F.col("prefix") + F.when(with_last, 1).otherwise(0)).alias("cut"))
-    out = _on_source(rows, cut, small)
+    cut = F.when(F.col("prefix") < 0, 0).otherwise(F.col("prefix") + F.when(with_last, 1).otherwise(0))
+    return rows, edge.select("source", "source_size", "target", "repeats", cut.alias("cut")), small
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """How often each document is taken so that each source's words come near its target.
+
+    docs: doc_id, text, source; other columns are ignored. Returns doc_id, source, size, source_size, target, repeats,
+    taken. Options as for source_cuts. Thresholds are nested: a larger budget takes a superset.
+
+    Null text has size 0 and null source is a source of its own. The hash is of doc_id alone, so rows that repeat a
+    doc_id are taken alike; reruns agree. A source of size 0 has target 0; an empty table gives an empty result. A
+    bucket is summed before any shuffle, so a source that holds most rows costs no more than another.
+    """
+    rows, cuts, small = source_cuts(docs, **options)
+    out = _on_source(rows, cuts, small)
     out = out.withColumn("repeats", F.col("repeats") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def mixed(docs: DataFrame, *, bits: int = BITS, levels: int = LEVELS, **options) -> DataFrame:
+    """docs with all their columns, each row as often as the mix takes it. Edge cases as for mix_sources."""
+    _, cuts, small = source_cuts(docs, bits=bits, levels=levels, **options)
+    c = cuts.select(F.col("source").alias("__source"), F.col("repeats").alias("__repeats"), F.col("cut").alias("__cut"))
+    out = docs.withColumn("__hash", _hash(bits, levels)).join(F.broadcast(c) if small else c, F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    times = (F.col("__repeats") + F.when(F.col("__hash") < F.col("__cut"), 1).otherwise(0)).cast("int")
+    return out.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{x}`") for x in docs.columns])
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import lookup, ship, stored, table, text_or_empty
+from tessella.llm._base import lookup, ship, stored, table, text_or_empty, without
 
 CACHE_WORDS = 200_000  # words whose hash a task keeps; beyond, it starts anew
 WIDER = 0.75  # a size band's lower bound by its upper
@@ -240,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> DataFrame:
-    """Components of documents whose sets of word n-grams are similar: doc_id, n_shingles, set_digest, component_id.
+    """Components of documents whose sets of word n-grams are similar: doc_id, text_hash, n_shingles, set_digest, component, component_id.
 
     docs: doc_id, text; other columns are ignored. Two documents link when 100 * |intersection| >= percent * |union|.
     Documents of one set are one node from the start. Sets that share a PartEnum signature make a list of candidates;
@@ -396,10 +396,22 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
         comps = comps.join(components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("final")), "comp", "left").select("digest", F.coalesce("final", "comp").alias("comp"))
     inside = stored(nodes.select("digest", "least").join(comps, "digest"), "join-inside")
     named = inside.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
-    named = lookup(inside.select("digest", "comp"), stored(named, "join-named"), "comp", "sets").select("digest", "component_id")
-    keyed = nodes.select("digest", "least", "rows").join(named, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"), "rows")
-    out = lookup(sized.where("n > 0"), stored(keyed, "join-keyed"), "digest", "rows").select("doc_id", F.col("n").alias("n_shingles"), F.col("digest").alias("set_digest"), "component_id")
-    return out.unionByName(sized.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("binary").alias("set_digest"), F.col("doc_id").alias("component_id")))
+    named = lookup(inside.select("digest", "comp"), stored(named, "join-named"), "comp", "sets").select("digest", F.col("comp").alias("component"), "component_id")
+    keyed = nodes.select("digest", "least", "rows").join(named, "digest", "left")
+    keyed = stored(keyed.select("digest", F.coalesce("component", "digest").alias("component"), F.coalesce("component_id", "least").alias("component_id"), "rows"), "join-keyed")
+    out = lookup(sized.where("n > 0"), keyed, "digest", "rows").withColumnRenamed("digest", "set_digest")
+    empty = sized.where("n = 0").withColumns({"set_digest": F.lit(None).cast("binary"), "component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
+    cols = ("doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_digest", "component", "component_id")
+    return out.select(*cols).unionByName(empty.select(*cols))
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with all their columns, but of each component only the row with the smallest doc_id (null last, ties by a hash of the text). Empty sets stay."""
+    found = stored(ngram_components(docs.select("doc_id", "text"), width=width, percent=percent).where(F.col("component").isNotNull()).select("doc_id", "text_hash", "component"), "join-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")
+    groups = stored(found.groupBy("component").agg(first, F.count(F.lit(1)).alias("docs")).where("docs > 1"), "join-groups")
+    gone = lookup(found, groups, "component", "docs").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    return without(docs, gone.select("doc_id", "text_hash"), {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(text_or_empty())})
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,12 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, *, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with all their columns, but for rows that score below the threshold."""
+    out = classify(docs, train(docs, labels, learn), score="__score")
+    return out.where(F.col("__score") >= threshold).drop("__score")
+
+
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = classify(docs, train(docs, table(spark, sf_dir, "labels"), fold() != 0))
