@@ -55,6 +55,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most KNOWN of them, most frequent first: all words from a count on that a histogram of the counts' logarithms gives."""
+    size = F.floor(F.log2("n") * 16).cast("int")
+    room, least = KNOWN, None
+    for bucket, words in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):  # about 1000 at most
+        room -= words
+        if room < 0:
+            break
+        least = bucket
+    rows = counts.where(size >= least).collect() if least is not None else []
+    return sorted(((r[0].encode(), r[1]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def shape_sums(counts: DataFrame, own: frozenset[bytes]) -> dict[int, tuple[int, int]]:
     """For each shape: tokens and distinct words, of all counted words but those that are classes of their own."""
 
@@ -239,7 +252,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = stored(word_counts(rows.where(~F.col("held_out")).select("text")), "lm-counts")
     total, distinct, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
     gap = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))  # absolute discount, after Ney
-    top = [(r[0].encode(), r[1]) for r in counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()]
+    top = frequent(counts)
     own = [END, *[w for w, _ in top if w != END]][:FREQUENT]
     sums = shape_sums(counts, frozenset(own))
     log = lambda x: float(np.log10(x))
