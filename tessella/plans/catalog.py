@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessella.plans import pointwise, signals, streams
+
+QUERIES: dict = {**pointwise.QUERIES, **signals.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict = {**pointwise.ORACLE_SQL, **signals.ORACLE_SQL, **streams.ORACLE_SQL}
