@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,40 +12,69 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import ship, stored, table, text_or_empty
+from tessella.llm._base import ship, small_batches, stored, table, text_or_empty
 
-CACHE_WORDS = 200_000  # words whose ids a task keeps; beyond, it starts anew
+CACHE_WORDS = 300_000  # words whose ids a task keeps; beyond, it starts anew
 TOKENS_SCHEMA = "part int, first long, doc_id long, n_tokens long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: A word of lower-case letters alone, of which the tokenizer makes one piece of text, then at most a run of ASCII signs.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
+
+#: Byte-level coding writes each byte as a letter: printable ones of Latin-1 as themselves, the others as those from 256 on, in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 def word_ids(tokenizer_path: str):
     """A function of a UTF-8 text that gives its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and looks at each word alone, so a word's ids are found once and kept.
+    The tokenizer drops white space, lowers letters and looks at each run of letters or of signs alone. So the ids of
+    a word, or of its letters and the signs after them, are found once and kept. A run of plain letters goes straight
+    to the tokenizer's model, written as its letters for bytes; anything else goes through all of the tokenizer.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    model = tokenizer.model.tokenize
     kept: dict[bytes, bytes] = {}
 
+    def encoded(words: list[bytes]) -> Iterator[bytes]:
+        for w in words:
+            yield np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def runs(words: list[bytes]) -> Iterator[bytes]:
+        for w in words:
+            yield b"".join([t.id.to_bytes(4, "little") for t in model(w.decode("latin-1").translate(BYTE_LETTERS))])
+
+    def learn(new: list[bytes]) -> None:
+        split = {w: m.groups() for w in new if (m := PLAIN.fullmatch(w))}
+        letters = list({x for x, _ in split.values()}.difference(kept))
+        kept.update(zip(letters, runs(letters), strict=True))
+        others = list({w for w in new if w not in split}.union(x for _, x in split.values() if x).difference(kept))
+        kept.update(zip(others, encoded(others), strict=True))
+        for w, (x, y) in split.items():
+            if y:
+                kept[w] = kept[x] + kept[y]
+
     def ids(text: bytes) -> bytes:
-        words = text.split()  # of bytes: at the ASCII white space
-        new = list(set(words).difference(kept))
+        # of bytes: lowers A-Z, splits at the ASCII white space. Names of special tokens begin with "<|" and count in lower case only.
+        words = (text if b"<|" in text else text.lower()).split()
+        new = set(words).difference(kept)
         if len(kept) + len(new) > CACHE_WORDS:
             kept.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
+            new = set(words)
+        if new:
+            learn(list(new))
         return b"".join([kept[w] for w in words])
 
     return ids
 
 
-def _batches(schema: pa.Schema, rows: Iterator[tuple], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(schema: pa.Schema, rows: Iterator[tuple], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of rows that end with their size in bytes."""
     held: list[tuple] = []
     size = 0
@@ -66,10 +97,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         def rows():
             first = 0
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    got = ids(text) + end
-                    yield part, first, doc_id, len(got) // 4, got, len(got)
-                    first += len(got) // 4
+                for at in range(0, b.num_rows, 128):
+                    some = b.slice(at, 128)
+                    for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                        got = ids(text) + end
+                        yield part, first, doc_id, len(got) // 4, got, len(got)
+                        first += len(got) // 4
 
         yield from _batches(pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]), rows())
 
@@ -88,6 +121,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, length: int = 4096, end_id: in
     Null text is empty: the end id alone. Rows that repeat a doc_id are documents of their own. Long texts give many
     pieces. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     tokens = tokenised(docs, tokenizer_path, end_id)
     totals = sorted(tuple(r) for r in tokens.groupBy("part").agg(F.sum("n_tokens")).collect())
     starts = dict(zip([p for p, _ in totals], np.cumsum([0, *[n for _, n in totals]]).tolist()))
@@ -98,13 +132,14 @@ def pack(docs: DataFrame, *, tokenizer_path: str, length: int = 4096, end_id: in
 
         def rows():
             for b in batches:
-                for part, first, doc_id, n, ids in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    at, start = begins[part] + first, 0
-                    while start < n:
-                        offset = (at + start) % length
-                        size = min(length - offset, n - start)
-                        yield doc_id, start, size, ids[4 * start : 4 * (start + size)], n, (at + start) // length, offset, 4 * size
-                        start += size
+                for row in range(0, b.num_rows, 128):
+                    for part, first, doc_id, n, ids in zip(*[c.slice(row, 128).to_pylist() for c in b.columns], strict=True):
+                        at, start = begins[part] + first, 0
+                        while start < n:
+                            offset = (at + start) % length
+                            size = min(length - offset, n - start)
+                            yield doc_id, start, size, ids[4 * start : 4 * (start + size)], n, (at + start) // length, offset, 4 * size
+                            start += size
 
         yield from _batches(pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]), rows())
 
