@@ -198,15 +198,14 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *cols], names=["page_id", "url", "host", "path", *schema.names])
 
     kind = dict(rows.dtypes)["page_id"]
-    parsed = stored(rows.mapInArrow(parse, f"page_id {kind}, url string, host string, path string, lines array<string>, flags binary"), "page-lines")
-    counts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > chunk_pages) & (F.col("host") != ""))
-    total = parsed.count()
-    large = stored(counts, "page-hosts")
-    # at most total / chunk_pages hosts are that large; a broadcast only while that is a small table
-    large_hosts = F.broadcast(large) if total // chunk_pages < 100_000 else large
-    n_chunks = F.when(F.col("host") == "", F.lit(max(1, total // chunk_pages))).otherwise(F.ceil(F.coalesce("n", F.lit(1)) / chunk_pages))
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))  # of the URLs alone
+    large = stored(sizes.where((F.col("n") > chunk_pages) | (F.col("host") == "")), "page-hosts")
+    # a host in it has more than chunk_pages pages; a broadcast only while it is a small table
+    large = F.broadcast(large) if large.count() <= 100_000 else large
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, path string, lines array<string>, flags binary")
+    n_chunks = F.ceil(F.coalesce("n", F.lit(1)) / chunk_pages)
     spread = F.when(F.col("host") == "", F.xxhash64("page_id")).otherwise(F.xxhash64("path"))
-    keyed = parsed.join(large_hosts, "host", "left").withColumn("chunk", F.pmod(spread, n_chunks)).drop("n")
+    keyed = parsed.join(large, "host", "left").withColumn("chunk", F.pmod(spread, n_chunks)).drop("n")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
