@@ -6,10 +6,10 @@ from tessella.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessella.llm.html_text import op7_main_text
 from tessella.llm.lm_scoring import op8_lm_scores
 from tessella.llm.mixing import OP5_SQL, op5_mix_sources
-from tessella.llm.ngram_join import op9_ngram_join
+from tessella.llm.ngram_join import OP9_SQL, op9_ngram_join
 from tessella.llm.packing import op3_pack
 from tessella.llm.quality import op2_quality_pu
-from tessella.llm.sharding import op10_shard_documents
+from tessella.llm.sharding import OP10_SQL, op10_shard_documents
 from tessella.llm.token_counts import op4_token_counts
 from tessella.llm.topk import OP1_SQL, op1_top_k
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_shard_documents": op10_shard_documents,
 }
 
-ORACLE_SQL = {"op1_top_k": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op1_top_k": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL, "op10_shard_documents": OP10_SQL}

@@ -101,3 +101,22 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, slots: int = SLOTS, ma
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP10_SQL = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, CAST(length(h) // 2 + 8 AS BIGINT) AS size, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % 8192 AS vslot,
+      CAST(xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: CAST(('0x' || substr(h, CAST(2 * i + 1 AS INT), 2)) AS BIGINT))), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) AS BIGINT) AS text_crc32
+      FROM b, tab),
+v AS (SELECT vslot, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, vslot) AS turn FROM x GROUP BY vslot),
+lpt(turn, loads, vslot, shard) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(range(24), lambda i: CAST(0 AS BIGINT)), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT)
+  UNION ALL
+  SELECT v.turn, list_transform(range(24), lambda i: loads[i + 1] + CASE WHEN i = list_position(loads, list_min(loads)) - 1 THEN v.bytes ELSE 0 END), v.vslot, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT)
+  FROM lpt JOIN v ON v.turn = lpt.turn + 1),
+m AS (SELECT lpt.vslot, shard, sum(v.n) OVER (PARTITION BY shard ORDER BY lpt.vslot) - v.n AS first FROM lpt JOIN v ON v.vslot = lpt.vslot)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+       CAST(first + row_number() OVER (PARTITION BY x.vslot ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM x JOIN m ON m.vslot = x.vslot
+"""
