@@ -181,7 +181,8 @@ def _segment(h: Header, marker: int, data: bytes) -> None:
     elif marker == QCD:
         h.quantization = _quantization(r, len(data))
     elif marker == QCC:
-        h.quantizations[r.take(wide)] = _quantization(r, len(data))
+        c = r.take(wide)
+        h.quantizations[c] = _quantization(r, len(data))
     elif marker == POC:
         while r.at < len(data):
             h.order_changes.append((r.take("B"), r.take(wide), r.take("H"), r.take("B"), r.take(wide), r.take("B")))
