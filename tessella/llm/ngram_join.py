@@ -12,15 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import lookup, ship, stored, table, text_or_empty, without
+from tessella.llm._base import lookup, ship, small_batches, stored, table, text_or_empty, without
 
-CACHE_WORDS = 200_000  # words whose hash a task keeps; beyond, it starts anew
 WIDER = 0.75  # a size band's lower bound by its upper
 SIGNATURES_A_GROUP = 1_500_000  # signatures that are matched in one task
 LIST_BYTES, LIST_MOST = 32 << 20, 4096  # bytes of sets, and sets, of one list of candidates
 LOW = 3  # signatures of fewer shingles say little and are left out where others must match
 BROADCAST_IDS = 500_000
-SKETCH_BITS = 1024
+SMALL_BYTES = 64 << 10  # sets of components up to that size are settled many at a time
 U = np.uint64
 
 
@@ -35,30 +34,49 @@ def mix(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- sets
 
 
-def shingler(width: int):
-    """A function of a text that gives its set: sorted distinct 64-bit hashes of `width` words in a row; of all words if there are fewer."""
-    kept: dict[bytes, bytes] = {}
-    times = [U(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1) for i in range(width)]
-
-    def shingles(text: bytes) -> np.ndarray:
-        words = text.lower().split()  # of bytes: lowers A-Z, splits at the ASCII white space
-        if len(words) < width:
-            return np.frombuffer(blake2b(b" ".join(words), digest_size=8).digest(), U) if words else np.empty(0, U)
-        new = set(words).difference(kept)
-        if len(kept) + len(new) > CACHE_WORDS:
-            kept.clear()
-            new = set(words)
-        for w in new:
-            kept[w] = blake2b(w, digest_size=8).digest()
-        v = np.frombuffer(b"".join([kept[w] for w in words]), U)
-        n = len(v) - width + 1
-        h = v[:n] * times[0]
-        for i in range(1, width):
-            h = h + v[i : i + n] * times[i]
-        h = np.sort(mix(h))
-        return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-    return shingles
+_RANDOM = np.random.default_rng(20240229)
+LETTER = _RANDOM.integers(1, 2**64, 256, dtype=U)  # a number for each byte
+LETTER[65:91] = LETTER[97:123]  # A-Z count as a-z
+PLACE = _RANDOM.integers(0, 2**64, 1 << 12, dtype=U) | U(1)  # a factor for each place in a word
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, and where each text's words begin (one more at the end)."""
+    b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    blank = BLANK[b]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    ends = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
+    letters = np.flatnonzero(~blank)
+    first = np.cumsum(ends - starts) - (ends - starts)
+    place = np.arange(len(letters)) - np.repeat(first, ends - starts)
+    if len(place) and place.max() >= len(PLACE):  # a very long word
+        factor = np.where(place < len(PLACE), PLACE[place % len(PLACE)], mix(place.astype(U)) | U(1))
+    else:
+        factor = PLACE[place]
+    v = mix(np.add.reduceat(LETTER[b[letters]] * factor, first)) if len(first) else np.empty(0, U)
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return v, np.searchsorted(starts, begins)
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Each text's set: sorted distinct 64-bit hashes of `width` words in a row; of all its words if there are fewer."""
+    v, at = word_hashes(texts)
+    times = mix(np.arange(1, width + 1, dtype=U)) | U(1)
+    n = max(0, len(v) - width + 1)
+    h = v[:n] * times[0]
+    for i in range(1, width):
+        h = h + v[i : i + n] * times[i]
+    h = mix(h)
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if j - i >= width:
+            s = np.sort(h[i : j - width + 1])
+            fresh = s[1:] != s[:-1]
+            out.append(s if fresh.all() else s[np.concatenate(([True], fresh))])
+        else:
+            out.append(mix((v[i:j] * times[: j - i]).sum(keepdims=True, dtype=U) + U(j - i)) if j > i else np.empty(0, U))
+    return out
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -70,8 +88,17 @@ def ref(d: bytes) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's numbers of shingles in SKETCH_BITS classes. Two sets differ in at least as many shingles as their sketches in bits."""
-    return np.packbits(np.bincount((s >> U(54)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Parities of the set's numbers of shingles in classes by their first bits, about twice as many classes as shingles.
+
+    Two sets differ in at least as many shingles as their sketches in bits. Half as many classes: every two parities added up.
+    """
+    log = min(16, max(10, int(2 * len(s)).bit_length()))
+    return np.packbits(np.bincount((s >> U(64 - log)).astype(np.int64), minlength=1 << log).astype(np.uint8) & 1).tobytes()
+
+
+def fold(bits: np.ndarray) -> np.ndarray:
+    """Rows of parities at half as many classes."""
+    return bits[:, ::2] ^ bits[:, 1::2]
 
 
 # ---------------------------------------------------------------- signatures
@@ -93,7 +120,7 @@ class PartEnum:
         self.percent = percent
         self.plans: dict[int, tuple[int, int, int, int, np.ndarray]] = {}
         self.lows = [1]
-        while self.lows[-1] < 1 << 40:
+        while self.lows[-1] < 1 << 40 or len(self.lows) < 66:
             low = self.lows[-1]
             self.lows.append(max(low, math.floor(low / min(WIDER, 0.9 * percent / 100))) + 1)
 
@@ -184,38 +211,73 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(a) + len(b) - n)
 
 
-def near(enum: PartEnum, n: np.ndarray, bits: np.ndarray, i: int, rest: slice) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the others may be similar to i by size and sketch, and the sketches' distances."""
-    far = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    m = n[rest]
-    return np.flatnonzero((far <= enum.apart(m, n[i])) & (100 * np.minimum(m, n[i]) >= enum.percent * np.maximum(m, n[i]))), far
-
-
-def link(enum: PartEnum, sets: list[np.ndarray], bits: np.ndarray, comps: list[int]) -> list[int]:
+class Near:
+    """Which sets may be similar by size and sketch. Sketches are compared at the smaller number of classes of the two."""
+
+    def __init__(self, enum: PartEnum, sizes: list[int], blobs: list[bytes]):
+        self.enum, self.n = enum, np.array(sizes, np.int64)
+        self.classes = np.array([8 * len(x) for x in blobs], np.int64)
+        kinds = sorted(set(self.classes.tolist()))
+        self.rows = {k: np.zeros((len(blobs), k // 64), U) for k in kinds}
+        for k in kinds:
+            at = np.flatnonzero(self.classes == k)
+            bits = np.unpackbits(np.frombuffer(b"".join(blobs[i] for i in at), np.uint8).reshape(len(at), -1), axis=1)
+            while True:
+                if bits.shape[1] in self.rows:
+                    self.rows[bits.shape[1]][at] = np.packbits(bits, axis=1).view(U)
+                if bits.shape[1] <= kinds[0]:
+                    break
+                bits = fold(bits)
+
+    def before(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sets before i, those that may be similar to it, and how far each sketch is from its."""
+        n, classes = self.n[:i], np.minimum(self.classes[:i], self.classes[i])
+        may = 100 * np.minimum(n, self.n[i]) >= self.enum.percent * np.maximum(n, self.n[i])
+        far = np.zeros(i, np.int64)
+        for k, rows in self.rows.items():
+            here = np.flatnonzero(may & (classes == k))
+            if len(here):
+                far[here] = np.bitwise_count(rows[here] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        return np.flatnonzero(may & (far <= self.enum.apart(n, self.n[i]))), far
+
+
+def joined(up: list[int], x: int) -> int:
+    """The root of x, with the way to it halved."""
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
+def may_link(enum: PartEnum, sizes: list[int], blobs: list[bytes]) -> list[int]:
+    """Components by sizes and sketches alone: each holds whole components of the links."""
+    up = list(range(len(sizes)))
+    near = Near(enum, sizes, blobs)
+    for i in range(1, len(sizes)):
+        for j in near.before(i)[0].tolist():
+            a, b = joined(up, i), joined(up, j)
+            up[max(a, b)] = min(a, b)
+    return [joined(up, i) for i in range(len(sizes))]
+
+
+def link(enum: PartEnum, sets: list[np.ndarray], blobs: list[bytes], comps: list[int]) -> list[int]:
     """Components of the sets by all links among them, from components known before (numbers up to len(sets)).
 
     Two sets are compared unless they are already in one component or cannot be similar by size and sketch, so no
     link between components is missed and the links within one are not all made.
     """
     up = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
     first: dict[int, int] = {}
     for i, c in enumerate(comps):
-        up[find(i)] = find(first.setdefault(c, i))
-    n = np.array([len(s) for s in sets])
+        up[joined(up, i)] = joined(up, first.setdefault(c, i))
+    near = Near(enum, [len(s) for s in sets], blobs)
     for i in range(1, len(sets)):
-        may, far = near(enum, n, bits, i, slice(0, i))
+        may, far = near.before(i)
         for j in may[np.argsort(far[may], kind="stable")].tolist():
-            a, b = find(i), find(j)
+            a, b = joined(up, i), joined(up, j)
             if a != b and similar(sets[i], sets[j], enum.percent):
                 up[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(sets))]
+    return [joined(up, i) for i in range(len(sets))]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,18 +305,21 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
     """Components of documents whose sets of word n-grams are similar: doc_id, text_hash, n_shingles, set_digest, component, component_id.
 
     docs: doc_id, text; other columns are ignored. Two documents link when 100 * |intersection| >= percent * |union|.
-    Documents of one set are one node from the start. Sets that share a PartEnum signature make a list of candidates;
-    all pairs of a list are held against each other within one task, by sizes and sketches and then by the sets, but
-    for those already connected. First each set is compared in the longest of its lists; then, in lists that still
-    hold several components, the sets that may be similar across components are compared. Every similar pair shares a
-    list, so the components are exact (up to equal 64-bit hashes of different shingles). No pairs are written; a list
-    has bounded bytes, and a longer one is cut into pieces that meet each other.
+    Documents of one set are one node from the start. Sets that share a PartEnum signature make a list of candidates,
+    of bounded length; a longer one is cut into pieces that meet each other. All pairs of a list are held against each
+    other by sizes and sketches, which rule out nearly all that are not similar; what is left falls into provisional
+    components, each of which holds whole components of the links. Only their sets are read again. A provisional
+    component of bounded bytes is settled by one task; in a larger one each set is first compared in the longest of its
+    lists, and then, in lists that still hold several components, with those it may be similar to. Every similar pair
+    shares a list and no two sets of different components stay uncompared, so components are exact (up to equal 64-bit
+    hashes of different shingles). No pairs are written.
 
     Null and empty texts have an empty set, no links and themselves as component. The smallest doc_id names a
     component; null counts as larger than all. Rows that repeat a text are one node. An empty table gives an empty
     result.
     """
     enum = PartEnum(percent)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def parts(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -262,22 +327,21 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
             yield at, b.column("text").slice(at, 256).cast(pa.binary()).to_pylist()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(width)
         for b in batches:
             for at, texts in parts(b):
-                sets = [shingles(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), b.column("text_hash").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())], names=["doc_id", "text_hash", "n", "digest"])
+                sets = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), b.column("text_hash").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "text_hash", "n", "digest", "sketch"])
 
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sized = stored(hashed.mapInArrow(measure, "doc_id long, text_hash long, n long, digest binary"), "join-sizes")
+    sized = stored(hashed.mapInArrow(measure, "doc_id long, text_hash long, n long, digest binary, sketch binary"), "join-sizes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")
-    nodes = sized.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), first, F.count(F.lit(1)).alias("rows"))
-    nodes = stored(nodes.select("digest", "n", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "rows"), "join-nodes")
+    nodes = sized.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), first, F.count(F.lit(1)).alias("rows"))
+    to_ref = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")  # as ref(): the first 8 bytes, signed
+    nodes = stored(nodes.select("digest", to_ref.alias("ref"), "n", "sketch", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "rows"), "join-nodes")
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_groups = max(4, -(-total // (2 * SIGNATURES_A_GROUP)))  # a set has about a signature for two shingles
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(width)
         sigs: list[np.ndarray] = []
         refs: list[np.ndarray] = []
         seen: set[bytes] = set()
@@ -297,8 +361,7 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
 
         for b in batches:
             for _, texts in parts(b):
-                for t in texts:
-                    s = shingles(t)
+                for s in shingle_sets(texts, width):
                     d = digest(s)
                     if d in seen:
                         continue
@@ -325,82 +388,126 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
     lists = rows.select("text").mapInArrow(sign, "part long, sigs binary, refs binary").groupBy("part").applyInArrow(match, "refs array<long>").distinct()
     lists = stored(lists.withColumn("list", F.monotonically_increasing_id()), "join-lists")
     members = lists.select("list", F.size("refs").alias("size"), F.explode("refs").alias("ref"))
-    home = stored(members.groupBy("ref").agg(F.max(F.struct("size", "list")).alias("at")).select("ref", F.col("at.list").alias("list")), "join-homes")
-    to_ref = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")  # as ref(): the first 8 bytes, signed
-    asked = stored(nodes.withColumn("ref", to_ref).join(home.select("ref"), "ref", "left_semi").select(F.col("least").alias("a_least"), F.col("text_hash").alias("a_hash"), F.col("digest").alias("a_digest")), "join-asked")
-    few = asked.count() <= BROADCAST_IDS
-    texts = hashed.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("a_least")) & (F.col("text_hash") == F.col("a_hash"))).select("text", "a_digest")
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(width)
         seen: set[bytes] = set()
         for b in batches:
             for at, some in parts(b):
                 out = []
-                for t, want in zip(some, b.column("a_digest").slice(at, len(some)).to_pylist(), strict=True):
-                    if want in seen:
-                        continue
-                    s = shingles(t)
-                    if digest(s) == want:
-                        seen.add(want)
-                        out.append((want, ref(want), sketch(s), s.tobytes()))
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["digest", "ref", "sketch", "items"])
-
-    sets = stored(texts.mapInArrow(fetch, "digest binary, ref long, sketch binary, items binary"), "join-sets")
+                want, comp = (b.column(c).slice(at, len(some)).to_pylist() for c in ("a_digest", "a_comp"))
+                for s, d, c in zip(shingle_sets(some, width), want, comp, strict=True):
+                    if d not in seen and digest(s) == d:
+                        seen.add(d)
+                        out.append((d, c, len(s), sketch(s), s.tobytes()))
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["digest", "comp", "n", "sketch", "items"])
 
-    def unpack(group: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray, list[bytes]]:
-        got = {d: (s, x, c) for d, s, x, c in zip(*[group.column(n).to_pylist() for n in ("digest", "sketch", "items", "comp")], strict=True)}
+    def settle(rows: list[dict], comps: list[bytes] | None = None) -> list[tuple[bytes, bytes]]:
+        """(digest, its component's root) of rows with digest, sketch and items."""
+        got = {r["digest"]: r for r in rows}
         names = sorted(got)
-        bits = np.frombuffer(b"".join(got[d][0] for d in names), U).reshape(len(names), -1)
-        return names, [np.frombuffer(got[d][1], U) for d in names], bits, [got[d][2] for d in names]
+        number = {c: i for i, c in enumerate(sorted({got[d]["comp"] for d in names}))} if comps is not None else {}
+        was = [number[got[d]["comp"]] for d in names] if comps is not None else list(range(len(names)))
+        now = link(enum, [np.frombuffer(got[d]["items"], U) for d in names], [got[d]["sketch"] for d in names], was)
+        return [(d, names[c]) for d, c in zip(names, now, strict=True)]
+
+    def table_of(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+        return pa.table({"digest": pa.array([x for x, _ in pairs], pa.binary()), "comp": pa.array([x for _, x in pairs], pa.binary())})
 
-    def at_home(group: pa.Table) -> pa.Table:
-        names, items, bits, _ = unpack(group)
-        comps = link(enum, items, bits, list(range(len(names))))
-        return pa.table({"digest": pa.array(names, pa.binary()), "comp": pa.array([names[c] for c in comps], pa.binary())})
+    def settle_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                yield table_of(settle(b.column(0)[at].as_py())).to_batches()[0]
 
-    comps = home.join(sets, "ref").select("list", "digest", "sketch", "items", F.col("digest").alias("comp"))
-    comps = stored(comps.groupBy("list").applyInArrow(at_home, "digest binary, comp binary"), "join-comps")
-    placed = members.select("list", "ref").join(sets.select("ref", "digest").join(comps, "digest"), "ref")
-    mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    mixed = stored(placed.join(mixed, "list", "left_semi").select("list", "digest", "comp"), "join-mixed")
+    def settle_one(group: pa.Table) -> pa.Table:
+        return table_of(settle(group.to_pylist()))
 
     def across(group: pa.Table) -> pa.Table:
         """The sets of a list that size and sketch allow to be similar to one of another component."""
-        got = sorted(set(zip(*[group.column(n).to_pylist() for n in ("digest", "sketch", "n", "comp")], strict=True)))
-        bits = np.frombuffer(b"".join(x[1] for x in got), U).reshape(len(got), -1)
-        n, own = np.array([x[2] for x in got]), np.unique([x[3].hex() for x in got], return_inverse=True)[1]
-        hit = np.zeros(len(got), bool)
+        got = sorted({(r["digest"], r["sketch"], r["n"], r["comp"]) for r in group.to_pylist()})
+        own = np.unique([x[3].hex() for x in got], return_inverse=True)[1]
+        near, hit = Near(enum, [x[2] for x in got], [x[1] for x in got]), np.zeros(len(got), bool)
         for i in range(1, len(got)):
-            may = near(enum, n, bits, i, slice(0, i))[0]
+            may = near.before(i)[0]
             may = may[own[may] != own[i]]
             hit[may] = True
             hit[i] |= len(may) > 0
         keep = np.flatnonzero(hit).tolist()
         return pa.table({"list": pa.array([group.column("list")[0].as_py()] * len(keep), pa.int64()), "digest": pa.array([got[i][0] for i in keep], pa.binary()), "comp": pa.array([got[i][3] for i in keep], pa.binary())})
 
-    sketched = mixed.join(sets.select("digest", "sketch", (F.octet_length("items") / 8).cast("long").alias("n")), "digest")
-    left = stored(sketched.select("list", "digest", "sketch", "n", "comp").groupBy("list").applyInArrow(across, "list long, digest binary, comp binary"), "join-left")
-
     def join_up(group: pa.Table) -> pa.Table:
-        names, items, bits, was = unpack(group)
-        number = {c: i for i, c in enumerate(sorted(set(was)))}
-        now = link(enum, items, bits, [number[c] for c in was])
-        pairs = {(was[i], was[c]) for i, c in enumerate(now) if was[i] != was[c]}
+        rows = group.to_pylist()
+        comp = {r["digest"]: r["comp"] for r in rows}
+        pairs = {(comp[d], comp[c]) for d, c in settle(rows, list(comp.values())) if comp[d] != comp[c]}
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
-    edges = left.join(sets.drop("ref"), "digest").select("list", "digest", "sketch", "items", "comp").groupBy("list").applyInArrow(join_up, "a binary, b binary").distinct()
-    edges = stored(edges, "join-edges")
-    if not edges.isEmpty():
-        comps = comps.join(components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("final")), "comp", "left").select("digest", F.coalesce("final", "comp").alias("comp"))
+    def exact(star: DataFrame, placed: DataFrame) -> DataFrame:
+        """(digest, comp) of provisional components -> (digest, comp) of the links."""
+        asked = nodes.join(star, "digest").select(F.col("least").alias("a_least"), F.col("text_hash").alias("a_hash"), F.col("digest").alias("a_digest"), F.col("comp").alias("a_comp"))
+        asked = stored(asked, "join-asked")
+        few = asked.count() <= BROADCAST_IDS
+        texts = hashed.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("a_least")) & (F.col("text_hash") == F.col("a_hash"))).select("text", "a_digest", "a_comp")
+        sets = stored(texts.mapInArrow(fetch, "digest binary, comp binary, n long, sketch binary, items binary"), "join-sets")
+        sizes = sets.groupBy("comp").agg(F.sum(F.col("n") * 9 + 300).alias("bytes"), F.count(F.lit(1)).alias("sets"))
+        sizes = stored(sizes.withColumn("kind", F.when(F.col("bytes") <= SMALL_BYTES, 0).when((F.col("bytes") <= LIST_BYTES) & (F.col("sets") <= LIST_MOST), 1).otherwise(2)), "join-kinds")
+        kinds = {r[0] for r in sizes.select("kind").distinct().collect()}
+        pair = "digest binary, comp binary"
+        cols = ("digest", "sketch", "items")
+        out = []
+        few = sizes.count() <= BROADCAST_IDS
+        kind = lambda i: sets.join(F.broadcast(sizes.where(F.col("kind") == i)) if few else sizes.where(F.col("kind") == i), "comp", "left_semi")
+        if 0 in kinds:
+            out.append(kind(0).groupBy("comp").agg(F.collect_list(F.struct(*cols)).alias("rows")).select("rows").mapInArrow(settle_many, pair))
+        if 1 in kinds:
+            out.append(kind(1).groupBy("comp").applyInArrow(settle_one, pair))
+        if 2 in kinds:
+            out.append(large(stored(kind(2), "join-large"), placed))
+        comps = out[0]
+        for x in out[1:]:
+            comps = comps.unionByName(x)
+        return stored(comps, "join-comps")
+
+    def large(sets: DataFrame, placed: DataFrame) -> DataFrame:
+        """The same for components too large for one task, list by list."""
+        placed = placed.join(sets.select("digest"), "digest", "left_semi")
+        home = placed.groupBy("digest").agg(F.max(F.struct("size", "list")).alias("at")).select("digest", F.col("at.list").alias("list"))
+        comps = stored(sets.join(home, "digest").select("list", "digest", "sketch", "items").groupBy("list").applyInArrow(settle_one, "digest binary, comp binary"), "join-homes")
+        here = placed.select("list", "digest").join(comps, "digest")
+        several = here.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+        left = here.join(several, "list", "left_semi").join(sets.select("digest", "sketch", "n"), "digest")
+        left = stored(left.select("list", "digest", "sketch", "n", "comp").groupBy("list").applyInArrow(across, "list long, digest binary, comp binary"), "join-left")
+        edges = left.join(sets.select("digest", "sketch", "items"), "digest").groupBy("list").applyInArrow(join_up, "a binary, b binary").distinct()
+        edges = stored(edges, "join-edges")
+        if edges.isEmpty():
+            return comps
+        final = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("final"))
+        return comps.join(final, "comp", "left").select("digest", F.coalesce("final", "comp").alias("comp"))
+
+    placed = members.join(nodes.select("ref", "digest", "n", "sketch"), "ref")
+
+    def provisional(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = set()
+            for got in b.column(0).to_pylist():
+                names = [x["digest"] for x in got]
+                roots = may_link(enum, [x["n"] for x in got], [x["sketch"] for x in got])
+                pairs.update((names[i], names[r]) for i, r in enumerate(roots) if i != r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    whole = placed.groupBy("list").agg(F.collect_list(F.struct("digest", "n", "sketch")).alias("members")).select("members")
+    maybe = stored(whole.mapInArrow(provisional, "a binary, b binary").distinct(), "join-maybe")
+    if maybe.isEmpty():
+        comps = nodes.select("digest", F.col("digest").alias("comp")).limit(0)
+    else:
+        star = components(maybe)
+        star = star.unionByName(star.select(F.col("comp").alias("node"), "comp").distinct())
+        comps = exact(star.select(F.col("node").alias("digest"), "comp"), placed.select("list", "size", "digest"))
     inside = stored(nodes.select("digest", "least").join(comps, "digest"), "join-inside")
     named = inside.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     named = lookup(inside.select("digest", "comp"), stored(named, "join-named"), "comp", "sets").select("digest", F.col("comp").alias("component"), "component_id")
     keyed = nodes.select("digest", "least", "rows").join(named, "digest", "left")
     keyed = stored(keyed.select("digest", F.coalesce("component", "digest").alias("component"), F.coalesce("component_id", "least").alias("component_id"), "rows"), "join-keyed")
-    out = lookup(sized.where("n > 0"), keyed, "digest", "rows").withColumnRenamed("digest", "set_digest")
-    empty = sized.where("n = 0").withColumns({"set_digest": F.lit(None).cast("binary"), "component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
+    out = lookup(sized.drop("sketch").where("n > 0"), keyed, "digest", "rows").withColumnRenamed("digest", "set_digest")
+    empty = sized.drop("sketch").where("n = 0").withColumns({"set_digest": F.lit(None).cast("binary"), "component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
     cols = ("doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_digest", "component", "component_id")
     return out.select(*cols).unionByName(empty.select(*cols))
 
@@ -418,4 +525,17 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.other = u.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
+
+
 ship(__name__)
