@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import ship, stored, table
+from tessella.llm._base import ship, small_batches, stored, table
 
 CHUNK_PAGES = 400  # pages of a host that are compared in one task; larger hosts are split by a hash of the path
 COPY_SHARE = 0.6  # a neighbour that shares more of a page's characters is a copy of it, and the next nearest is asked
@@ -186,6 +186,7 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     compared with none. Null or empty html gives an empty text. Rows that repeat stay. An empty table gives an empty
     result.
     """
+    small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     rows = rows.select("page_id", "url", "html", "host", F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"))

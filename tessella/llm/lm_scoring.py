@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import ship, stored, table, text_or_empty
+from tessella.llm._base import ship, small_batches, stored, table, text_or_empty
 
 END = b" "  # the token after a text's last word; no word holds a space
 FREQUENT = 768  # words that are classes of their own
@@ -21,6 +21,7 @@ KNOWN = 100_000  # most frequent words whose counts every task holds; the rest m
 COUNTER_WORDS = 500_000  # words that a task counts before it sends them on
 FAN_IN = 256  # tables of pair counts added up in one task
 CLASSES = FREQUENT + SHAPES
+PRIOR = 3.0  # weight of the vectors' squares against the tokens
 
 
 def shape(word: bytes) -> int:
@@ -130,16 +131,18 @@ def classed(docs: DataFrame, known: dict[bytes, tuple[int, float]]) -> DataFrame
 
 
 def pair_counts(ids: DataFrame) -> np.ndarray:
-    """n[lag, context class, class] for lags 1 and 2 over all rows of ids(ids); before a text's start stands class 0."""
+    """n[check, lag, context class, class] for lags 1 and 2 over all rows of ids(ids, check); before a text's start stands class 0."""
     wide = np.dtype("<u8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, CLASSES * CLASSES), wide)
+        sums = np.zeros((4, CLASSES * CLASSES), wide)
         for b in batches:
-            _, a, lag1, lag2 = contexts(b.column(0).to_pylist())
-            for i, c in enumerate((lag1, lag2)):
-                sums[i] += np.bincount(c * CLASSES + a, minlength=CLASSES * CLASSES).astype(wide)
-        sums = sums.reshape(2 * CLASSES, CLASSES)
+            checks = np.array(b.column(1).to_pylist(), bool)
+            for kind in (0, 1):
+                _, a, lag1, lag2 = contexts([x for x, c in zip(b.column(0).to_pylist(), checks, strict=True) if c == kind])
+                for i, c in enumerate((lag1, lag2)):
+                    sums[2 * kind + i] += np.bincount(c * CLASSES + a, minlength=CLASSES * CLASSES).astype(wide)
+        sums = sums.reshape(4 * CLASSES, CLASSES)
         at = np.flatnonzero(sums.any(axis=1))
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([part // FAN_IN] * len(at), pa.int32()), pa.array([zlib.compress(sums[i].tobytes(), 1) for i in at], pa.binary())], names=["at", "part", "sums"])
@@ -153,10 +156,10 @@ def pair_counts(ids: DataFrame) -> np.ndarray:
     kind = "at int, part int, sums binary"
     got = ids.mapInArrow(run, kind).groupBy("at", "part").applyInArrow(add, kind)
     got = got.select("at", F.lit(0).alias("part"), "sums").groupBy("at").applyInArrow(add, kind)
-    n = np.zeros((2 * CLASSES, CLASSES))
-    for at, _, sums in got.collect():  # at most 2 * CLASSES rows
+    n = np.zeros((4 * CLASSES, CLASSES))
+    for at, _, sums in got.collect():  # at most 4 * CLASSES rows
         n[at] = np.frombuffer(zlib.decompress(sums), wide)
-    return n.reshape(2, CLASSES, CLASSES)
+    return n.reshape(2, 2, CLASSES, CLASSES)
 
 
 def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +179,7 @@ def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 # ---------------------------------------------------------------- model
 
 
-def train_nce(n: np.ndarray, *, width: int = 48, noise: float = 16.0, steps: int = 250, rate: float = 0.04, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train_nce(n: np.ndarray, *, width: int = 48, noise: float = 16.0, steps: int = 120, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Context vectors R and class vectors Q of one lag, from its pair counts n[context, class].
 
     Noise-contrastive estimation with the classes' own frequencies as noise: log sigma(s - log(noise * p)) for each
@@ -193,7 +196,7 @@ def train_nce(n: np.ndarray, *, width: int = 48, noise: float = 16.0, steps: int
         true = 1 / (1 + noise * np.exp(-np.clip(r @ q.T, -30, 30)))  # that a pair is no noise
         g = own * (1 - true) - rand * true
         for i, (x, d) in enumerate(((r, g @ q), (q, g.T @ r))):
-            d = d - 1e-9 * x
+            d = d - PRIOR / total * x
             mean[i] = 0.9 * mean[i] + 0.1 * d
             var[i] = 0.99 * var[i] + 0.01 * d * d
             x += rate * min(1.0, 2 * (1 - t / (steps + 1))) * (mean[i] / (1 - 0.9**t)) / (np.sqrt(var[i] / (1 - 0.99**t)) + 1e-9)
@@ -213,24 +216,28 @@ def log_tables(model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a1.astype(np.float32), a2.astype(np.float32), z.astype(np.float32)
 
 
+def _fitted(n: np.ndarray) -> dict:
+    (r1, q1), (r2, q2) = train_nce(n[0]), train_nce(n[1])
+    bias = np.log((n[0].sum(axis=0) + 0.5) / (n[0].sum() + 0.5 * n.shape[1]))
+    return {"r1": r1, "q1": q1, "r2": r2, "q2": q2, "bias": bias}
+
+
 def train(n: np.ndarray) -> dict:
-    """The model from the pair counts of both lags.
+    """The model from the pair counts n[check, lag, context, class].
 
-    Each lag's vectors are trained alone; their weights are those, of a grid, under which all training tokens are
-    likeliest. That likelihood needs no further pass, as it is a sum over pair counts: of the class with the word
-    before, of the class with the word before that, and of the two contexts.
+    Each lag's vectors are trained alone. Their weights are those, of a grid, under which the checked documents are
+    likeliest when the vectors come from the others; then the vectors are trained on all. The likelihood needs no
+    further pass over the texts, as it is a sum over pair counts: of the class with the one before, of the class with
+    the one before that, and of the two contexts.
     """
-    (r1, q1), (r2, q2) = train_nce(n[0]), train_nce(n[1])
-    bias = np.log((n[0].sum(axis=0) + 0.5) / (n[0].sum() + 0.5 * n.shape[1]))
-    model = {"r1": r1, "q1": q1, "r2": r2, "q2": q2, "bias": bias}
+    tried = _fitted(n[0])
 
     def likelihood(w: tuple[float, float]) -> float:
-        a1, a2, z = log_tables(model | {"w1": w[0], "w2": w[1]})
-        both = n[0].T  # n[lag 1][c2, c1], but for texts' ends, of the contexts c1 and c2
-        return float((n[0] * a1).sum() + (n[1] * a2).sum() - (both * z).sum())
+        a1, a2, z = log_tables(tried | {"w1": w[0], "w2": w[1]})
+        return float((n[1, 0] * a1).sum() + (n[1, 1] * a2).sum() - (n[1, 0].T * z).sum())  # but for texts' ends, a pair of contexts is a pair one apart
 
-    w1, w2 = max([(x, y) for x in (0.7, 0.85, 1.0) for y in (0.0, 0.3, 0.5, 0.7, 0.9)], key=likelihood)
-    return model | {"w1": w1, "w2": w2}
+    w1, w2 = max([(x, y) for x in (0.5, 0.7, 0.85, 1.0) for y in (0.0, 0.3, 0.5, 0.7, 0.9)], key=likelihood)
+    return _fitted(n.sum(axis=0)) | {"w1": w1, "w2": w2}
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -248,6 +255,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     repeat are scored alike. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_or_empty().alias("text"))
     counts = stored(word_counts(rows.where(~F.col("held_out")).select("text")), "lm-counts")
     total, distinct, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
@@ -262,7 +270,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         k = None if w in place else shape(w)
         known[w] = (place[w] if k is None else FREQUENT + k, log(n + 0.5), 0.0 if k is None else log((n - gap) / sums[k][0]))
     ids = classed(rows, known)
-    model = spark.sparkContext.broadcast(train(pair_counts(ids.where(~F.col("held_out")).select("ids"))))
+    model = spark.sparkContext.broadcast(train(pair_counts(ids.where(~F.col("held_out")).select("ids", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).alias("check")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a1, a2, z = log_tables(model.value)

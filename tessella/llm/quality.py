@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._base import ship, table, text_or_empty
+from tessella.llm._base import ship, small_batches, table, text_or_empty
 
 SAMPLE_ROWS = 20_000  # most positives, and most unlabelled rows, that the model is fitted on
 HIDDEN = 16
@@ -130,6 +130,7 @@ def classify(docs: DataFrame, model: dict, *, score: str = "score") -> DataFrame
 
     Null text counts as empty, and empty texts are scored as any other. Rows that repeat are scored alike.
     """
+    small_batches(docs.sparkSession)
     names = [f.name for f in docs.schema.fields]
     at = names.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)

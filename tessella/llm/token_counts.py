@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import ship, table, text_or_empty
+from tessella.llm._base import ship, small_batches, table, text_or_empty
 
 CACHE_WORDS = 300_000  # words whose count a task keeps; beyond, it starts anew
 
@@ -96,6 +96,8 @@ def token_counts(docs: DataFrame, *, model_path: str) -> DataFrame:
     once each however often they repeat. Null and empty texts have 0 of each; an empty table gives an empty result.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton(*piece_vocabulary(model_path))
         kept: dict[bytes, int] = {}
