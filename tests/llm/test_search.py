@@ -156,6 +156,16 @@ def test_signatures_of_similar_sets_meet():
             assert far[0] <= len(np.setxor1d(a, b)) and (len(may) or not len(b) or not similar(a, b, percent))
 
 
+def test_long_texts(monkeypatch):
+    """A text longer than what is hashed at once has the same set, and words longer than the table of factors count whole."""
+    r = random.Random(2)
+    t = "\n".join(f"w{r.randrange(400)} {'x' * r.randrange(60)}" for _ in range(3000)).encode() + b" " + b"y" * 9000 + b" " + b"y" * 9001
+    whole = ngram_join.shingle_sets([t], 4)[0]
+    monkeypatch.setattr(ngram_join, "PART_BYTES", 777)
+    assert (ngram_join.shingle_sets([t], 4)[0] == whole).all()
+    assert len(set(ngram_join.word_hashes([b"y" * 9000, b"y" * 9001])[0].tolist())) == 2
+
+
 def test_long_lists_are_cut():
     sigs, refs = np.repeat(np.arange(64, 128 * 2, 64, dtype=np.uint64), 50), np.tile(np.arange(50), 3)
     lists = candidate_lists(sigs, refs, [8] * 64)
