@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._base import lookup, ship, small_batches, stored, table, text_or_empty, without
 
 WIDER = 0.75  # a size band's lower bound by its upper
-SIGNATURES_A_GROUP = 1_500_000  # signatures that are matched in one task
+SIGNATURES_A_GROUP = 700_000  # signatures that are matched in one task
+PART_BYTES = 1 << 20  # text that is hashed at once
+HELD = 700_000  # signatures that a task gathers before it sends them on
 LIST_BYTES, LIST_MOST = 32 << 20, 4096  # bytes of sets, and sets, of one list of candidates
-LOW = 3  # signatures of fewer shingles say little and are left out where others must match
+LOW = (3, 2, 1)  # signatures of fewer shingles say little and are left out where others must match
 BROADCAST_IDS = 500_000
 SMALL_BYTES = 64 << 10  # sets of components up to that size are settled many at a time
 U = np.uint64
@@ -59,9 +63,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return v, np.searchsorted(starts, begins)
 
 
+def long_word_hashes(text: bytes) -> np.ndarray:
+    """The hashes of a very long text's words, PART_BYTES of it at a time, cut at white space."""
+    out, at = [], 0
+    while at < len(text):
+        cut = re.compile(rb"[ \t-\r]").search(text, at + PART_BYTES)
+        to = cut.start() if cut else len(text)
+        out.append(word_hashes([text[at:to]])[0])
+        at = to
+    return np.concatenate(out)
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Each text's set: sorted distinct 64-bit hashes of `width` words in a row; of all its words if there are fewer."""
-    v, at = word_hashes(texts)
+    if len(texts) == 1 and len(texts[0]) > PART_BYTES:
+        v = long_word_hashes(texts[0])
+        at = np.array([0, len(v)])
+    else:
+        v, at = word_hashes(texts)
     times = mix(np.arange(1, width + 1, dtype=U)) | U(1)
     n = max(0, len(v) - width + 1)
     h = v[:n] * times[0]
@@ -88,11 +107,11 @@ def ref(d: bytes) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's numbers of shingles in classes by their first bits, about twice as many classes as shingles.
+    """Parities of the set's numbers of shingles in classes by their first bits, about as many classes as shingles, or twice as many.
 
     Two sets differ in at least as many shingles as their sketches in bits. Half as many classes: every two parities added up.
     """
-    log = min(16, max(10, int(2 * len(s)).bit_length()))
+    log = min(16, max(10, len(s).bit_length()))
     return np.packbits(np.bincount((s >> U(64 - log)).astype(np.int64), minlength=1 << log).astype(np.uint8) & 1).tobytes()
 
 
@@ -111,9 +130,11 @@ class PartEnum:
     group and in that of the next band. In a group at most k shingles tell two such sets apart. The shingles' domain is
     cut into n1 parts and each into n2 smaller ones; as some part holds at most k2 of the k differences, n2 - k2 of its
     smaller parts hold none, and the hash of what a set has there is the signature, for each choice of n2 - k2.
-    With `spare` parts more, spare + 1 parts hold at most k2 differences; so if no more than `spare` parts of a set
-    have a signature of fewer than LOW shingles, those signatures are left out: another one must match. Whether a
-    signature is low depends on what both sets have there, so both leave out the same.
+    With `spare` parts more, spare + 1 parts hold at most k2 differences. So if no more than `spare` parts of a set
+    have a signature of fewer than t shingles, the set leaves those signatures out, for the first such t of LOW: in one
+    of its other parts a signature of at least t shingles matches. The other set has the same shingles there; if it
+    leaves out signatures of fewer than its own t, one of the two t is the larger, and what that set keeps the other
+    keeps too. Signatures of no shingles, which all texts could share, so hardly ever remain.
     """
 
     def __init__(self, percent: int):
@@ -144,7 +165,7 @@ class PartEnum:
             n1, n2, k2, spare = 1, k + 3, k, 0
         else:
             n2, k2 = 3, 1
-            spare = -(-(k // 2 + 1) // 10)
+            spare = -(-(k // 2 + 1) // 6)
             n1 = k // 2 + 1 + spare
         subsets = list(combinations(range(n2), n2 - k2))
         choice = np.zeros((n2, len(subsets)))
@@ -166,9 +187,9 @@ class PartEnum:
             a, b, n = (np.bincount(slot, w, n1 * n2).reshape(n1, n2) @ choice for w in (low, high, None))  # sums below 2^53 are exact
             place = U(group * 0x632BE59BD9B4E019 % 2**64) + np.arange(a.size, dtype=U).reshape(a.shape) * U(0xD6E8FEB86659FD93)
             sig = mix(mix(a.astype(U) + place) ^ b.astype(U))
-            few = n < LOW
-            if n1 > 1 and few.any(axis=1).sum() <= spare:
-                sig = sig[~few]
+            least = n.min(axis=1)
+            keep = next((t for t in LOW if (least < t).sum() <= spare), 0) if n1 > 1 else 0
+            sig = sig[n >= keep]
             out.append(sig.ravel() & ~U(63) | U(min(group, 63)))
         return np.concatenate(out) if out else np.empty(0, U)
 
@@ -323,8 +344,15 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def parts(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-        for at in range(0, b.num_rows, 256):
-            yield at, b.column("text").slice(at, 256).cast(pa.binary()).to_pylist()
+        """Runs of rows of up to PART_BYTES of text, or of one row."""
+        column = b.column("text").cast(pa.binary())
+        ends = np.cumsum(np.array(pa.compute.binary_length(column), np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + 256, int(np.searchsorted(ends, before + PART_BYTES, side="right"))))
+            yield at, column.slice(at, to - at).to_pylist()
+            at = to
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,7 +399,7 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
                     sigs.append(found)
                     refs.append(np.full(len(found), ref(d), np.int64).view(U))
                     held += len(found)
-                if held > 2_000_000:
+                if held > HELD:
                     yield flush()
                     held = 0
         yield flush()
