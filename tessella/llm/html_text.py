@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm._base import ship, small_batches, stored, table
 
-CHUNK_PAGES = 400  # pages of a host that are compared in one task; larger hosts are split by a hash of the path
+CHUNK_PAGES = 400  # pages of a host that are compared in one task; larger hosts are cut into ranges of the path order
+EDGE = 6  # distinct contents on either side of a range that are sent to it from its neighbours
 COPY_SHARE = 0.6  # a neighbour that shares more of a page's characters is a copy of it, and the next nearest is asked
 
 #: Elements whose content is not text, read up to their end tag.
@@ -150,18 +153,28 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def content(lines: list[str]) -> int:
+    """A hash of a page's lines; pages of equal lines have equal content."""
+    return int.from_bytes(hashlib.blake2b("\n".join(lines).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]]) -> list[set[int]]:
     """For pages of one host, (path, lines) in order of path: the indexes of each page's lines that its nearest neighbour shares."""
     out = []
     texts = [[x[0] for x in lines] for _, lines in pages]
+    contents = [content(x) for x in texts]
     for i, (path, lines) in enumerate(pages):
         chars = sum(len(x) for x in texts[i])
         drop: set[int] = set()
         lo, hi = i - 1, i + 1
+        asked = {contents[i]}  # equal pages tell nothing new
         while chars and (lo >= 0 or hi < len(pages)):
             near = [len(commonprefix([path, pages[j][0]])) if 0 <= j < len(pages) else -1 for j in (lo, hi)]
             j = lo if near[0] >= near[1] else hi
             lo, hi = (lo - 1, hi) if j == lo else (lo, hi + 1)
+            if contents[j] in asked:
+                continue
+            asked.add(contents[j])
             same = shared_lines(texts[i], texts[j])
             if sum(len(texts[i][x]) for x in same) <= COPY_SHARE * chars:
                 drop = {x for x in same if not (lines[x][1] and lines[x][2])}
@@ -170,6 +183,68 @@ def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]]) -> list[se
     return out
 
 
+def _trimmed(newest: list[tuple[int, int]], older: dict[int, int]) -> dict[int, int]:
+    """Content -> row of the EDGE nearest distinct contents: those of the nearer range first, then the older ones."""
+    out = dict(newest)
+    for k, v in older.items():
+        out.setdefault(k, v)
+    return dict(list(out.items())[:EDGE])
+
+
+def ranges(rows: DataFrame, chunk_pages: int) -> tuple[dict[str, list[tuple[str, str, int]]], dict[int, list[int]]]:
+    """For rows(host, path, url, row, content): where each host's ranges of the order (path, url, row) begin, and row -> the ranges it is sent to besides its own.
+
+    A range is sent the nearest EDGE distinct contents before and after it, from however far. Only the ends of ranges
+    come to the driver: 2 * EDGE pairs of numbers and one key for each.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        host, n = None, 0
+
+        def end() -> None:
+            if n:
+                done[-1] |= {"first": [{"c": c, "r": r} for c, r in first.items()], "last": [{"c": c, "r": r} for c, r in reversed(last.items())]}
+            first.clear()
+            last.clear()
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["host"] != host or n == chunk_pages:
+                    end()
+                    host, n = r["host"], 0
+                    done.append({k: r[k] for k in ("host", "path", "url", "row")})
+                n += 1
+                c = r["content"]
+                if len(first) < EDGE:
+                    first.setdefault(c, r["row"])
+                last.pop(c, None)
+                last[c] = r["row"]
+                if len(last) > EDGE:
+                    del last[next(iter(last))]
+        end()
+        pairs = pa.list_(pa.struct([("c", pa.int64()), ("r", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("host", pa.string()), ("path", pa.string()), ("url", pa.string()), ("row", pa.int64()), ("first", pairs), ("last", pairs)]))
+
+    order = ["host", "path", "url", "row"]
+    pairs = "array<struct<c:long,r:long>>"
+    got = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, f"host string, path string, url string, row long, first {pairs}, last {pairs}").collect()
+    by_host: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r.host, r.path, r.url, r.row)):
+        by_host.setdefault(r.host, []).append(r)
+    sent: dict[int, list[int]] = {}
+    for parts in by_host.values():
+        for turn, far in ((list(enumerate(parts)), "last"), (list(enumerate(parts))[::-1], "first")):
+            seen: dict[int, int] = {}
+            for at, r in turn:
+                for row in seen.values():
+                    sent.setdefault(row, []).append(at)
+                seen = _trimmed([(x.c, x.r) for x in r[far]], seen)
+    return {h: [(r.path, r.url, r.row) for r in parts] for h, parts in by_host.items()}, sent
+
+
 def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     """The main text of every page: page_id, url, text.
 
@@ -181,8 +256,9 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     page is a copy of it and tells nothing; the next nearest is asked. If lines in an article element are left, the
     text is those; else all that are left. Lines are joined by a line feed.
 
-    Hosts of more than chunk_pages pages are split by a hash of the path, so no task holds a host of any size; the
-    nearest neighbour is then the nearest of that part. Null or invalid URLs belong to no host and their pages are
+    Hosts of more than chunk_pages pages are cut into ranges of that order, so no task holds a host of any size; a
+    range is also given the EDGE nearest distinct contents on either side, so that a page at its end meets its true
+    neighbours. Null or invalid URLs belong to no host and their pages are
     compared with none. Null or empty html gives an empty text. Rows that repeat stay. An empty table gives an empty
     result.
     """
@@ -191,32 +267,61 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     rows = rows.select("page_id", "url", "html", "host", F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lines", pa.list_(pa.string())), ("flags", pa.binary())])
-        for b in batches:
-            got = [page_lines(x) for x in b.column(2).to_pylist()]
-            cols = [pa.array([[x[0] for x in lines] for lines in got], schema.types[0]), pa.array([bytes(x[1] + 2 * x[2] for x in lines) for lines in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *cols], names=["page_id", "url", "host", "path", *schema.names])
-
     kind = dict(rows.dtypes)["page_id"]
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))  # of the URLs alone
     large = stored(sizes.where((F.col("n") > chunk_pages) | (F.col("host") == "")), "page-hosts")
     # a host in it has more than chunk_pages pages; a broadcast only while it is a small table
     large = F.broadcast(large) if large.count() <= 100_000 else large
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, path string, lines array<string>, flags binary")
+    rows = rows.withColumn("row", F.xxhash64("page_id", "html")).join(large, "host", "left")
     n_chunks = F.ceil(F.coalesce("n", F.lit(1)) / chunk_pages)
-    spread = F.when(F.col("host") == "", F.xxhash64("page_id")).otherwise(F.xxhash64("path"))
-    keyed = parsed.join(large, "host", "left").withColumn("chunk", F.pmod(spread, n_chunks)).drop("n")
+    rows = rows.select("page_id", "url", "html", "host", "path", "row", F.pmod(F.xxhash64("page_id"), n_chunks).cast("int").alias("lone"), F.col("n").isNotNull().alias("large"))
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [content([x[0] for x in page_lines(x)]) for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(got, pa.int64())], names=["host", "path", "url", "row", "content"])
+
+    keys = rows.where(F.col("large") & (F.col("host") != "")).select("host", "path", "url", "row", "html")
+    edges = pages.sparkSession.sparkContext.broadcast(ranges(keys.mapInArrow(contents, "host string, path string, url string, row long, content long"), chunk_pages))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, sent = edges.value
+        lists = pa.list_(pa.string())
+        for b in batches:
+            url, page, host, path, row, lone = (b.column(i).to_pylist() for i in range(1, 7))
+            took, chunk, own = [], [], []
+            for i, (h, p, u, r) in enumerate(zip(host, path, url, row, strict=True)):
+                at = lone[i] if h == "" else 0
+                if h in starts:
+                    lo, hi = bisect_left(starts[h], (p, u, r)), bisect_right(starts[h], (p, u, r))
+                    at = lo + i % (hi - lo) if hi > lo else hi - 1  # equal rows may fill ranges of their own
+                    for other in sent.get(r, ()):
+                        if other != at:
+                            took.append(i)
+                            chunk.append(other)
+                            own.append(False)
+                took.append(i)
+                chunk.append(at)
+                own.append(True)
+            got = [page_lines(x) for x in page]
+            cols = [pa.array([[x[0] for x in lines] for lines in got], lists), pa.array([bytes(x[1] + 2 * x[2] for x in lines) for lines in got], pa.binary())]
+            whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), b.column(5), *cols], names=["page_id", "url", "host", "path", "row", "lines", "flags"])
+            whole = whole.take(pa.array(took, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(chunk, pa.int32()), pa.array(own, pa.bool_())], names=[*whole.schema.names, "chunk", "own"])
+
+    keyed = rows.drop("large").mapInArrow(parse, f"page_id {kind}, url string, host string, path string, row long, lines array<string>, flags binary, chunk int, own boolean")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        rows.sort(key=lambda r: (r["path"], r["url"] or "", r["page_id"] is None, r["page_id"] or 0))
+        rows.sort(key=lambda r: (r["path"], r["url"] or "", r["row"]))
         lines = [[(x, bool(f & 1), bool(f & 2)) for x, f in zip(r["lines"], r["flags"], strict=True)] for r in rows]
         drops = difference([(r["path"], x) for r, x in zip(rows, lines, strict=True)]) if rows[0]["host"] else [set()] * len(rows)
         texts = []
         for own, drop in zip(lines, drops, strict=True):
             left = [x for i, x in enumerate(own) if i not in drop]
             texts.append("\n".join(x[0] for x in ([x for x in left if x[1]] or left)))
+        texts = [x for r, x in zip(rows, texts, strict=True) if r["own"]]
+        rows = [r for r in rows if r["own"]]
         return pa.table({"page_id": pa.array([r["page_id"] for r in rows], group.schema.field("page_id").type), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string())})
 
     return keyed.groupBy("host", "chunk").applyInArrow(compare, f"page_id {kind}, url string, text string")

@@ -191,6 +191,16 @@ def test_main_text(spark):
     assert main_text(d.limit(0)).count() == 0
 
 
+def test_large_host_as_small(spark):
+    """Sections of 4 pages with a menu of their own, in a host cut into ranges, among copies: every page's text is that of the host compared whole."""
+    page = lambda s, body: f"<div>Top bar</div><div>menu of section {s}</div><div>{body}</div><div>Bottom bar</div>"
+    rows = [(4 * s + k, f"http://big.example/{s:03d}/{k}", page(s, f"words of page {k} in part {s} and quite some more of them")) for s in range(60) for k in range(4)]
+    rows += [(1000 + i, f"http://big.example/030/1?copy={i:02d}", page(30, "one text under many addresses, longer than its frame is")) for i in range(40)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    whole, cut = (sorted((r.page_id, r.text) for r in main_text(d, chunk_pages=n).collect()) for n in (400, 7))
+    assert cut == whole and whole[:240] == [(4 * s + k, f"words of page {k} in part {s} and quite some more of them") for s in range(60) for k in range(4)]
+
+
 def test_articles_of_the_test_pages(spark):
     """On the given pages the article element is the text; an independent reading of it agrees."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
