@@ -6,7 +6,8 @@ import hashlib
 import html
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -17,7 +18,9 @@ from tessella.llm._base import ship, small_batches, stored, table
 
 CHUNK_PAGES = 400  # pages of a host that are compared in one task; larger hosts are cut into ranges of the path order
 EDGE = 6  # distinct contents on either side of a range that are sent to it from its neighbours
-COPY_SHARE = 0.6  # a neighbour that shares more of a page's characters is a copy of it, and the next nearest is asked
+COPY_SHARE = 0.6  # a neighbour that shares more of a page's own characters is a copy of it, and the next nearest is asked
+COMMON = 5  # a line that so many distinct contents of a host have is no page's own
+OWN_SHARE = 0.05  # a page of fewer own characters may be one of many near copies
 
 #: Elements whose content is not text, read up to their end tag.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title"
@@ -158,17 +161,43 @@ def content(lines: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(lines).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]]) -> list[set[int]]:
-    """For pages of one host, (path, lines) in order of path: the indexes of each page's lines that its nearest neighbour shares."""
+def _common_from(lengths: list[int], having: list[int], n: int) -> tuple[int, bool]:
+    """From how many of the n distinct contents on a page's line is not its own, and whether that is the usual number.
+
+    Usually COMMON, on small hosts more than 3/4 of the contents. If that leaves the page next to nothing of its own it
+    may be one of many near copies; then the number is the least that leaves it something.
+    """
+    usual = least = min(COMMON, 3 * n // 4 + 1)
+    while least <= n and sum(x for x, k in zip(lengths, having, strict=True) if k < least) < OWN_SHARE * sum(lengths):
+        least = min((k for k in having if k >= least), default=n) + 1
+    return least, least == usual
+
+
+def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]], host: tuple[int, Callable[[str], int]] | None = None) -> list[set[int]]:
+    """For pages of one host, (path, lines) in order of path: the indexes of each page's lines that are the site's frame.
+
+    host: the number of the host's distinct contents and, for a line, how many of them have it (numbers below COMMON
+    may be given as 0); counted from pages if left out. The frame is what the nearest neighbour shares that is no
+    copy. A copy shares most of the characters of the page's own lines, which few contents have; so there are at most
+    4 of them, and the EDGE nearest distinct contents on either side are enough. If all are copies, or the page has
+    next to nothing of its own, the frame is the lines that many contents have. With one other content there is no
+    third to tell by, and a neighbour that shares most of the whole page is a copy.
+    """
     out = []
     texts = [[x[0] for x in lines] for _, lines in pages]
     contents = [content(x) for x in texts]
+    if host is None:
+        distinct = dict(zip(contents, texts, strict=True))
+        host = len(distinct), Counter(x for t in distinct.values() for x in set(t)).__getitem__
+    n, having = host
     for i, (path, lines) in enumerate(pages):
-        chars = sum(len(x) for x in texts[i])
-        drop: set[int] = set()
+        lengths, counts = [len(x) for x in texts[i]], [having(x) for x in texts[i]]
+        least, usual = _common_from(lengths, counts, n) if n > 2 else (n + 1, True)
+        own = [x if k < least else 0 for x, k in zip(lengths, counts, strict=True)]
+        drop = {x for x, k in enumerate(counts) if k >= least}
         lo, hi = i - 1, i + 1
         asked = {contents[i]}  # equal pages tell nothing new
-        while chars and (lo >= 0 or hi < len(pages)):
+        while usual and sum(lengths) and (lo >= 0 or hi < len(pages)):
             near = [len(commonprefix([path, pages[j][0]])) if 0 <= j < len(pages) else -1 for j in (lo, hi)]
             j = lo if near[0] >= near[1] else hi
             lo, hi = (lo - 1, hi) if j == lo else (lo, hi + 1)
@@ -176,10 +205,10 @@ def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]]) -> list[se
                 continue
             asked.add(contents[j])
             same = shared_lines(texts[i], texts[j])
-            if sum(len(texts[i][x]) for x in same) <= COPY_SHARE * chars:
-                drop = {x for x in same if not (lines[x][1] and lines[x][2])}
+            if sum(own[x] for x in same) <= COPY_SHARE * sum(own):
+                drop = same
                 break
-        out.append(drop)
+        out.append({x for x in drop if not (lines[x][1] and lines[x][2])})
     return out
 
 
@@ -191,6 +220,12 @@ def _trimmed(newest: list[tuple[int, int]], older: dict[int, int]) -> dict[int,
     return dict(list(out.items())[:EDGE])
 
 
+def range_of(starts: list[tuple[str, str, int]], key: tuple[str, str, int]) -> tuple[int, int]:
+    """First and end of the ranges a row may be in: one, but for equal rows that fill ranges of their own."""
+    lo, hi = bisect_left(starts, key), bisect_right(starts, key)
+    return (lo, hi) if lo < hi else (hi - 1, hi)
+
+
 def ranges(rows: DataFrame, chunk_pages: int) -> tuple[dict[str, list[tuple[str, str, int]]], dict[int, list[int]]]:
     """For rows(host, path, url, row, content): where each host's ranges of the order (path, url, row) begin, and row -> the ranges it is sent to besides its own.
 
@@ -252,8 +287,8 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     white space turned into one space; what the markup itself names as menu, header, footer, sidebar, notice, advert,
     form or comments is left out. Pages of a host are put in order of URL path and each is compared with its nearest
     neighbour: the longest common subsequence of their lines is the site's frame and is deleted, but for paragraphs
-    and headings inside an article element, as articles may quote each other. A neighbour that shares most of the
-    page is a copy of it and tells nothing; the next nearest is asked. If lines in an article element are left, the
+    and headings inside an article element, as articles may quote each other. A neighbour that shares most of what few
+    other pages of the host have is a copy of it and tells nothing; the next nearest is asked (see difference). If lines in an article element are left, the
     text is those; else all that are left. Lines are joined by a line feed.
 
     Hosts of more than chunk_pages pages are cut into ranges of that order, so no task holds a host of any size; a
@@ -278,14 +313,32 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [content([x[0] for x in page_lines(x)]) for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(got, pa.int64())], names=["host", "path", "url", "row", "content"])
+            got = [[x[0] for x in page_lines(x)] for x in b.column(4).to_pylist()]
+            keys = [[content([h, x]) for x in set(lines)] for h, lines in zip(b.column(0).to_pylist(), got, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([content(x) for x in got], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "path", "url", "row", "content", "lines"])
 
     keys = rows.where(F.col("large") & (F.col("host") != "")).select("host", "path", "url", "row", "html")
-    edges = pages.sparkSession.sparkContext.broadcast(ranges(keys.mapInArrow(contents, "host string, path string, url string, row long, content long"), chunk_pages))
+    keys = stored(keys.mapInArrow(contents, "host string, path string, url string, row long, content long, lines array<long>"), "page-keys")
+    starts, sent = ranges(keys.drop("lines"), chunk_pages)
+    n_contents = {r[0]: r[1] for r in keys.select("host", "content").distinct().groupBy("host").count().collect()}  # of large hosts
+    edges = pages.sparkSession.sparkContext.broadcast((starts, sent, n_contents))
+    least = min(COMMON, min((3 * n // 4 + 1 for n in n_contents.values() if n > 2), default=COMMON))
+    common = keys.dropDuplicates(["host", "content"]).select(F.explode("lines").alias("line")).groupBy("line").count().where(F.col("count") >= least)
+
+    def lines_of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = edges.value[0]
+        for b in batches:
+            found: dict[tuple[str, int, int], None] = {}
+            for h, p, u, r, lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lo, hi = range_of(starts[h], (p, u, r))
+                found |= dict.fromkeys((h, at, x) for at in range(lo, hi) for x in lines)
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "chunk", "line"])
+
+    known = keys.select("host", "path", "url", "row", "lines").mapInArrow(lines_of_ranges, "host string, chunk int, line long").distinct().join(common, "line")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, sent = edges.value
+        starts, sent, _ = edges.value
         lists = pa.list_(pa.string())
         for b in batches:
             url, page, host, path, row, lone = (b.column(i).to_pylist() for i in range(1, 7))
@@ -293,8 +346,8 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
             for i, (h, p, u, r) in enumerate(zip(host, path, url, row, strict=True)):
                 at = lone[i] if h == "" else 0
                 if h in starts:
-                    lo, hi = bisect_left(starts[h], (p, u, r)), bisect_right(starts[h], (p, u, r))
-                    at = lo + i % (hi - lo) if hi > lo else hi - 1  # equal rows may fill ranges of their own
+                    lo, hi = range_of(starts[h], (p, u, r))
+                    at = lo + i % (hi - lo)
                     for other in sent.get(r, ()):
                         if other != at:
                             took.append(i)
@@ -311,11 +364,15 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
 
     keyed = rows.drop("large").mapInArrow(parse, f"page_id {kind}, url string, host string, path string, row long, lines array<string>, flags binary, chunk int, own boolean")
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table, common: pa.Table) -> pa.Table:
         rows = group.to_pylist()
+        name = rows[0]["host"]
+        n = edges.value[2].get(name)  # None: a host of one range, whose pages are all here
+        counts = dict(zip(common.column("line").to_pylist(), common.column("count").to_pylist(), strict=True))
+        having = None if n is None else (n, lambda x: counts.get(content([name, x]), 0))
         rows.sort(key=lambda r: (r["path"], r["url"] or "", r["row"]))
         lines = [[(x, bool(f & 1), bool(f & 2)) for x, f in zip(r["lines"], r["flags"], strict=True)] for r in rows]
-        drops = difference([(r["path"], x) for r, x in zip(rows, lines, strict=True)]) if rows[0]["host"] else [set()] * len(rows)
+        drops = difference([(r["path"], x) for r, x in zip(rows, lines, strict=True)], having) if name else [set()] * len(rows)
         texts = []
         for own, drop in zip(lines, drops, strict=True):
             left = [x for i, x in enumerate(own) if i not in drop]
@@ -324,7 +381,7 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
         rows = [r for r in rows if r["own"]]
         return pa.table({"page_id": pa.array([r["page_id"] for r in rows], group.schema.field("page_id").type), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string())})
 
-    return keyed.groupBy("host", "chunk").applyInArrow(compare, f"page_id {kind}, url string, text string")
+    return keyed.groupBy("host", "chunk").cogroup(known.groupBy("host", "chunk")).applyInArrow(compare, f"page_id {kind}, url string, text string")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

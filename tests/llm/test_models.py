@@ -191,6 +191,27 @@ def test_main_text(spark):
     assert main_text(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 5, 30])
+def test_heavy_frame_is_deleted(n):
+    """A frame that outweighs the text is deleted; near copies of one text, few or many, keep it."""
+    frame = lambda *text: [("menu " * 60, False, False), *((x, False, False) for x in text), ("footer " * 30, False, False)]
+    pages = [(f"/{i:02d}", frame(f"text {i} " * 20)) for i in range(n)]
+    assert difference(pages) == [{0, 2}] * n
+    copies = [(f"/00/{i}", frame("one long text " * 60, f"seen {i} times")) for i in range(2 if n == 3 else n // 5 * 2)]
+    assert difference(sorted(pages + copies))[1 : 1 + len(copies)] == [{0, 3}] * len(copies)
+    assert difference(copies) == [set()] * len(copies)
+
+
+def test_heavy_frame_of_a_large_host(spark):
+    page = lambda *text: "<div>" + "menu " * 60 + "</div>" + "".join(f"<div>{x}</div>" for x in text) + "<div>" + "footer " * 30 + "</div>"
+    rows = [(i, f"http://big.example/{i:03d}", page((f"text {i} " * 20).strip())) for i in range(100)]
+    rows += [(1000 + i, f"http://big.example/050/{i:02d}", page(("one long text " * 60).strip(), f"seen {i} times")) for i in range(30)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = [(i, (f"text {i} " * 20).strip()) for i in range(100)] + [(1000 + i, ("one long text " * 60).strip() + f"\nseen {i} times") for i in range(30)]
+    for chunk in (400, 7):
+        assert sorted((r.page_id, r.text) for r in main_text(d, chunk_pages=chunk).collect()) == want
+
+
 def test_large_host_as_small(spark):
     """Sections of 4 pages with a menu of their own, in a host cut into ranges, among copies: every page's text is that of the host compared whole."""
     page = lambda s, body: f"<div>Top bar</div><div>menu of section {s}</div><div>{body}</div><div>Bottom bar</div>"
