@@ -68,12 +68,24 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return t.where(F.col("version") == (F.lit(version) if version is not None else t.agg(F.max("version")).first()[0]))
 
 
+def latest_map(spark: SparkSession, path: str) -> list[tuple]:
+    """The rows of the newest version at path, at most one for each slot; none if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    t = spark.read.schema(MAP_SCHEMA).parquet(path)
+    newest = t.agg(F.max("version")).first()[0]
+    return [] if newest is None else [tuple(r) for r in load_map(spark, path, newest).collect()]
+
+
 def shard_documents(docs: DataFrame, *, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Put every document into a shard of near equal bytes.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, size, text_crc32, vslot, shard, slot. A record's
     virtual slot is a hash of its doc_id; slots are summed (bytes and rows), the at most `slots` sums make the map,
-    which is appended as a version under map_path; a record's shard is its slot's. `slot` is its place in the shard,
+    which is appended as a version under map_path; a record's shard is its slot's. If map_path holds a map, its newest
+    version is rebalanced for the sums of docs, which is the whole data set as it is now, so that few slots move; slots
+    without documents keep their shard while it exists. Without one, the map is made anew. `slot` is its place in the shard,
     from 0 without gaps: where its virtual slot begins plus its place in that, by doc_id, checksum and size.
 
     Null text counts as empty (8 bytes), null doc_id hashes as the empty string. Rows that repeat a doc_id share a
@@ -92,9 +104,16 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, slots: int = SLOTS, ma
     rows = stored(rows, "shard-rows")
     sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     path = map_path or work_path(spark, "shard-map")
-    save_map(spark, assign([tuple(r) for r in sums.collect()], shards), path)
+    old = latest_map(spark, path)
+    now = [tuple(r) for r in sums.collect()]
+    if old:
+        seen = {vslot for vslot, *_ in now}
+        now += [(vslot, 0, 0) for _, vslot, *_ in old if vslot not in seen]
+    new = rebalance(old, now, shards) if old else assign(now, shards)
+    save_map(spark, new, path)
+    version = new[0][0] if new else 0
     place = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("place", place).join(F.broadcast(load_map(spark, path).select("vslot", "shard", "first")), "vslot")
+    out = rows.withColumn("place", place).join(F.broadcast(load_map(spark, path, version).select("vslot", "shard", "first")), "vslot")
     return out.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("place")).alias("slot"))
 
 

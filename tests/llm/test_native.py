@@ -133,6 +133,28 @@ def test_rebalance(spark, tmp_path):
     assert load_map(spark, f"file://{tmp_path}/map").count() == 500 and load_map(spark, f"file://{tmp_path}/map", 0).first().version == 0
 
 
+def test_two_runs_on_one_map(spark, docs, rows, tmp_path):
+    """A second run edits the map: no row is doubled, slots stay where they may, places have no gaps, old versions stay."""
+    path = f"file://{tmp_path}/slots"
+    d = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(50 + id % 7 as int)) as text")
+    runs = [shard_documents(x, shards=n, slots=500, map_path=path).collect() for x, n in ((d.where("doc_id < 2500"), 5), (d, 6), (d.where("doc_id % 50 = 0"), 6), (d, 6))]
+    assert [len(r) for r in runs] == [2500, 3000, 60, 3000]
+    for got in runs:
+        places = defaultdict(list)
+        for r in got:
+            places[r.shard].append(r.slot)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    first, second = ({r.vslot: r.shard for r in got} for got in runs[:2])
+    moved = [v for v in first if first[v] != second[v]]
+    assert set(second.values()) == set(range(6)) and len(moved) < len(first) / 3
+    load = defaultdict(int)
+    for r in runs[1]:
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.05 * min(load.values())
+    assert [load_map(spark, path, v).first().version for v in range(4)] == [0, 1, 2, 3]
+    assert {r.vslot: r.shard for r in load_map(spark, path, 0).collect()} == first
+
+
 def test_empty(empty):
     assert mix_sources(empty).count() == 0 and mixed(empty).count() == 0
     assert exact_dedup(empty).count() == 0 and keep_first(empty).count() == 0
