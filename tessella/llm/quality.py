@@ -52,17 +52,19 @@ def scores(m: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_forward(m, x)[2].astype(np.float64), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.01, decay: float = 1e-3, seed: int = 5) -> dict:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, moments: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 400, rate: float = 0.01, decay: float = 1e-3, seed: int = 5) -> dict:
     """A network of one hidden layer that minimises the non-negative unbiased risk with the logistic loss.
 
     Risk: prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]). The second term estimates the loss on negatives
     without having any; where it falls below 0 the model overfits and the step goes up that term instead.
+    moments: mean and standard deviation of the features, by default those of the unlabelled rows given.
     """
     if not len(positive) or not len(unlabelled):
         return {"constant": prior}
     draw = np.random.default_rng(seed)
     width = positive.shape[1]
-    m = {"mean": unlabelled.mean(axis=0), "scale": unlabelled.std(axis=0) + 1e-3, "w1": (draw.standard_normal((width, HIDDEN)) / np.sqrt(width)).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32), "w2": (draw.standard_normal(HIDDEN) / 4).astype(np.float32), "b2": np.float32(0)}
+    middle, spread = moments or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
+    m = {"mean": middle, "scale": spread + np.float32(1e-3), "w1": (draw.standard_normal((width, HIDDEN)) / np.sqrt(width)).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32), "w2": (draw.standard_normal(HIDDEN) / 4).astype(np.float32), "b2": np.float32(0)}
     keys = ("w1", "b1", "w2", "b2")
     mean, var = ({k: np.zeros_like(m[k]) for k in keys} for _ in range(2))
     x = np.concatenate([positive, unlabelled])
@@ -106,11 +108,36 @@ def _feature_rows(docs: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(got), np.float32).reshape(len(got), ASCII + 12)
 
 
+FIXED = 2.0**30  # features are summed as whole multiples of 1 / FIXED, so that sums do not depend on the order
+
+
+def feature_moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and standard deviation of each feature over all documents, in one pass; None without documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, ASCII + 12), np.int64)
+        n = 0
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()).to_pylist():
+                x = features(text).astype(np.float64)
+                sums += np.rint(np.stack([x, x * x]) * FIXED).astype(np.int64)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(ASCII + 12), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), pa.array([n] * (ASCII + 12), pa.int64())], names=["at", "x", "xx", "n"])
+
+    whole = docs.select(text_or_empty().alias("text")).mapInArrow(run, "at int, x long, xx long, n long")
+    got = sorted(whole.groupBy("at").agg(*[F.sum(F.col(c).cast("decimal(20,0)")) for c in ("x", "xx", "n")]).collect())
+    if not got or not got[0][3]:
+        return None
+    mean, square = (np.array([float(r[i]) / FIXED / float(r[3]) for r in got]) for i in (1, 2))
+    return mean.astype(np.float32), np.sqrt(np.maximum(square - mean * mean, 0)).astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int = SAMPLE_ROWS, prior: float | None = None) -> dict:
     """Fit the classifier on rows of docs for which `learn` holds (a column of doc_id).
 
-    Trusted positives are the documents that labels marks 1 and nowhere 0; unlabelled text is documents at large. At
-    most about sample_rows of each are used, chosen by a hash of doc_id. Without a given prior the share of good
+    Trusted positives are the documents that labels marks 1 and nowhere 0; unlabelled text is documents at large. The
+    features' mean and scale are those of all documents; the risk is estimated from about sample_rows of each kind at
+    most, chosen by a hash of doc_id. Without a given prior the share of good
     documents is estimated by that among the labelled ones. Rows without a label, null ids and null labels are fine;
     with no positives the score is the prior everywhere.
     """
@@ -119,10 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int
         good, n = marks.agg(F.count(F.when(F.col("low") == 1, 1)), F.count(F.lit(1))).first()
         prior = (good + 1) / (n + 2)
     trusted = _sampled(marks.where(F.col("low") == 1).select("doc_id"), "doc_id", sample_rows)
+    small_batches(docs.sparkSession)
     texts = docs.where(learn).select("doc_id", "text")
     positive = _feature_rows(texts.join(F.broadcast(trusted), "doc_id"))  # about sample_rows ids at most
     unlabelled = _feature_rows(_sampled(texts, "doc_id", sample_rows))
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, prior, moments=feature_moments(texts) if len(positive) and len(unlabelled) else None)
 
 
 def classify(docs: DataFrame, model: dict, *, score: str = "score") -> DataFrame:

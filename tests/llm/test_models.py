@@ -49,6 +49,13 @@ def test_held_out(classified):
     assert got == {r.doc_id: r.score for r in q.classify(d.repartition(5), q.train(d.repartition(7), lab, q.fold() != 0)).collect()}
 
 
+def test_mean_and_scale_are_of_all_documents(classified):
+    d, lab, _ = classified
+    m = q.train(d, lab, q.fold() != 0, sample_rows=60)
+    x = np.array([q.features((r.text or "").encode()) for r in d.where(q.fold() != 0).collect()])
+    assert np.allclose(m["mean"], x.mean(axis=0), atol=1e-5) and np.allclose(m["scale"], x.std(axis=0) + 1e-3, atol=1e-4)
+
+
 def test_keep_good_passes_columns_through(classified):
     d, lab, _ = classified
     wide = d.withColumn("score", F.lit("mine")).withColumn("tags", F.array(F.lit("a")))
