@@ -49,11 +49,53 @@ def test_held_out(classified):
     assert got == {r.doc_id: r.score for r in q.classify(d.repartition(5), q.train(d.repartition(7), lab, q.fold() != 0)).collect()}
 
 
-def test_mean_and_scale_are_of_all_documents(classified):
+def test_moments_and_histograms_by_hand(classified):
+    """Sums over all rows, by loops; the risk from moments is the risk over rows, and its gradient that of differences."""
+    d, lab, labels = classified
+    rows = d.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 3 == 0).alias("trusted"), (F.col("doc_id") % 2 == 0).alias("half")).where("trusted is not null").limit(40).cache()
+    m = q.moments(rows.repartition(3))
+    x = {r: np.concatenate([[1], q.matrix([r.text.encode()])[0]]) for r in rows.collect()}
+    for good in (0, 1):
+        for h in (0, 1):
+            assert (m[good, h] == sum(np.outer(v, v) for r, v in x.items() if r.half == h and (r.trusted or not good))).all()
+    w = np.random.default_rng(1).standard_normal(q.WIDTH + 1) / 2000
+    hist = q.histograms(rows.repartition(4), (w, -w))
+    want = np.zeros_like(hist)
+    for r, v in x.items():
+        g = sum(int(round(a * q.WEIGHT)) * int(b) for a, b in zip(-w if not r.half else w, v, strict=True)) / q.WEIGHT
+        for kind in {0, int(r.trusted)}:
+            want[kind, min(q.BINS - 1, max(0, int((g + q.REACH) * q.BINS / (2 * q.REACH))))] += 1
+    assert (hist == want).all()
+    u, p = m.sum(axis=1)
+    loss = lambda g, sign: (g - sign) ** 2 / 4
+    mean = lambda of, sign: np.mean([loss(w @ v, sign) for r, v in x.items() if r.trusted or of == "u"])
+    up, down = q.risk(w, p / p[0, 0], u / u[0, 0], 0.7)
+    assert abs(up - 0.7 * mean("p", 1)) < 1e-9 and abs(down - (mean("u", -1) - 0.7 * mean("p", -1))) < 1e-9
+
+
+def test_fit_reaches_the_least_risk():
+    """Where the estimate stays above 0 the fit is the closed-form least of the penalised risk."""
+    r = np.random.default_rng(2)
+    p, u = r.standard_normal((300, 6)) + 0.4, r.standard_normal((500, 6))
+    a, b = q.second_moments(p), q.second_moments(u)
+    w = q.fit(a, b, 0.3, penalty=0.0, steps=4000)
+    assert np.allclose((b / 500) @ w, 2 * 0.3 * a[0] / 300 - b[0] / 500, atol=1e-5) and q.risk(w, a / 300, b / 500, 0.3)[1] > 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_of_a_known_mixture(share):
+    r = np.random.default_rng(4)
+    hist = lambda g: np.bincount(np.clip(((g + q.REACH) * q.BINS / (2 * q.REACH)).astype(int), 0, q.BINS - 1), minlength=q.BINS)
+    n = 20_000
+    u = np.concatenate([r.normal(0.8, 0.3, int(n * share)), r.normal(-0.6, 0.3, n - int(n * share))])
+    assert abs(q.class_prior(hist(r.normal(0.8, 0.3, 5000)), hist(u)) - share) < 0.04
+
+
+def test_bounded_trusted_rows(classified):
     d, lab, _ = classified
-    m = q.train(d, lab, q.fold() != 0, sample_rows=60)
-    x = np.array([q.features((r.text or "").encode()) for r in d.where(q.fold() != 0).collect()])
-    assert np.allclose(m["mean"], x.mean(axis=0), atol=1e-5) and np.allclose(m["scale"], x.std(axis=0) + 1e-3, atol=1e-4)
+    many = lab.sparkSession.range(5000).select(F.col("id").alias("doc_id"))
+    assert 60 < q._sampled(many, 100).count() < 140 and q._sampled(many, 5000).count() == 5000
+    assert "weights" in q.train(d, lab, q.fold() != 0, trusted_rows=100)
 
 
 def test_keep_good_passes_columns_through(classified):
@@ -63,19 +105,39 @@ def test_keep_good_passes_columns_through(classified):
     assert out.columns == wide.columns and {r.score for r in out.collect()} == {"mine"} and 0 < out.count() < wide.count()
 
 
+def test_score_column_gives_way(classified):
+    d, lab, _ = classified
+    wide = d.withColumn("Score", F.lit("old")).withColumn("trusted", F.lit(1)).withColumn("half", F.lit(2)).withColumn("_score", F.lit(3)).limit(30)
+    m = q.train(d, lab, q.fold() != 0)
+    out = q.classify(wide, m)
+    assert out.columns == ["doc_id", "text", "trusted", "half", "_score", "score"] and dict(out.dtypes)["score"] == "double"
+    assert q.keep_good(wide, lab, q.fold() != 0).columns == wide.columns
+
+
+def test_long_and_tied_texts(spark, classified):
+    d, lab, _ = classified
+    m = q.train(d, lab, q.fold() != 0)
+    long = "word and " * 500_000 + "x" * 3_000_000
+    e = spark.createDataFrame([(1, long), (2, long), (3, ""), (4, None), (5, " "), (6, "a"), (7, "ab")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in q.classify(e, m).collect()}
+    assert len(got) == 7 and got[1] == got[2] and got[3] == got[4] and all(0 <= x <= 1 for x in got.values())
+
+
 def test_risk_is_not_negative():
     """Where positives leak into the unlabelled rows the estimate of the negatives' loss would go far below 0."""
     r = np.random.default_rng(0)
-    p, u = r.standard_normal((200, 30)).astype(np.float32) + 1, np.concatenate([r.standard_normal((150, 30)) + 1, r.standard_normal((50, 30)) - 1]).astype(np.float32)
-    s = q.scores(q.fit(p, u, 0.75), u)
-    assert s[:150].mean() > 0.7 and s[150:].mean() < 0.3
+    p, u = r.standard_normal((200, 30)) + 1, np.concatenate([r.standard_normal((150, 30)) + 1, r.standard_normal((50, 30)) - 1])
+    w = q.fit(q.second_moments(p), q.second_moments(u), 0.75)
+    g = w[0] + u @ w[1:]
+    assert g[:150].mean() > 0.4 and g[150:].mean() < -0.2
 
 
 def test_without_positives(spark, empty):
     lab = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
     d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-    assert {r.score for r in q.classify(d, q.train(d, lab, q.fold() != 9)).collect()} == {1 / 3}
-    assert q.classify(empty, {"constant": 0.5}).count() == 0
+    assert {r.score for r in q.classify(d, q.train(d, lab, q.fold() != 9)).collect()} == {0.5}
+    assert {r.score for r in q.classify(d, q.train(d, lab, q.fold() != 9, prior=0.25)).collect()} == {0.25}
+    assert q.train(empty, lab, q.fold() != 9) == {"constant": 0.5} and q.classify(empty, {"constant": 0.5}).count() == 0
 
 
 # ---------------------------------------------------------------- language model
