@@ -29,12 +29,10 @@ SKIPPED = frozenset("nav footer aside form dialog menu head fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
-#: Words of class, id or role that mark menus, notices, adverts and reader comments.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
-    "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion "
-    "recommendations recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
-)
+#: Names (class, id or role) of what the contract leaves out whose text may be another on each page, so that no pair of pages tells.
+NAMES = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies footer menu nav navbar navigation newsletter notice notices popup sidebar sponsored toolbar".split())
+#: Words that may follow them in a name.
+BOXES = frozenset("area bar block body box container holder inner item left list outer right section slot thread wrap wrapper".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -44,6 +42,17 @@ ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def named(value: str, names: frozenset[str]) -> bool:
+    """Whether a class, id or role ends in one of the names, but for words of BOXES: "ad", "adBox", "user-comments", not "comment-free" or "share-of-market"."""
+    for name in value.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        while len(words) > 1 and words[-1] in BOXES:
+            words.pop()
+        if words and words[-1] in names:
+            return True
+    return False
+
+
 def _marked(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element is a menu, header, notice, advert, hidden or the like by its name or attributes."""
     if tag in SKIPPED or tag == "header" and not in_article:
@@ -54,17 +63,15 @@ def _marked(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & MARKS or not in_article and words & {"header"} and tag in ("div", "section"):
-                return True
+        if name in ("class", "id", "role") and (named(value, NAMES) or not in_article and tag in ("div", "section") and named(value, frozenset({"header"}))):
+            return True
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(line, in an article, prose) of each block that has text and is not marked as something else, in page order."""
-    lines: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether text in them is skipped
+def page_lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(line, in an article, prose, marked) of each block that has text, in page order; marked: as a menu, advert and the like."""
+    lines: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool]] = []  # open elements; whether text in them is marked
     parts: list[str] = []
     articles = 0
 
@@ -73,7 +80,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         parts.clear()
         if text:
             kind = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-            lines.append((text, articles > 0, kind in PROSE))
+            lines.append((text, articles > 0, kind in PROSE, bool(stack and stack[-1][1])))
 
     def close(to: int) -> None:
         nonlocal articles
@@ -85,7 +92,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             stack.pop()
 
     def text(piece: str) -> None:
-        if piece and not (stack and stack[-1][1]):
+        if piece:
             parts.append(piece)
 
     at = 0
@@ -98,6 +105,8 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if stack[i][1] and not (i and stack[i - 1][1]):
+                        flush()
                     close(i)
                     break
             continue
@@ -118,6 +127,8 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
                     break
         skip = bool(stack and stack[-1][1]) or _marked(tag, m["attrs"] or "", articles > 0)
         if not (m["attrs"] or "").endswith("/") or tag in PROSE:
+            if skip and not (stack and stack[-1][1]):
+                flush()  # marked text is a line of its own
             stack.append((tag, skip))
             articles += tag in ("article", "main")
     text(page[at:])
@@ -173,7 +184,7 @@ def _common_from(lengths: list[int], having: list[int], n: int) -> tuple[int, bo
     return least, least == usual
 
 
-def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]], host: tuple[int, Callable[[str], int]] | None = None) -> list[set[int]]:
+def difference(pages: list[tuple[str, list[tuple]]], host: tuple[int, Callable[[str], int]] | None = None) -> list[set[int]]:
     """For pages of one host, (path, lines) in order of path: the indexes of each page's lines that are the site's frame.
 
     host: the number of the host's distinct contents and, for a line, how many of them have it (numbers below COMMON
@@ -181,7 +192,8 @@ def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]], host: tupl
     copy. A copy shares most of the characters of the page's own lines, which few contents have; so there are at most
     4 of them, and the EDGE nearest distinct contents on either side are enough. If all are copies, or the page has
     next to nothing of its own, the frame is the lines that many contents have. With one other content there is no
-    third to tell by, and a neighbour that shares most of the whole page is a copy.
+    third to tell by, and a neighbour that shares most of the whole page is a copy. Articles may quote each other, so a
+    shared paragraph or heading inside an article element is frame only if most of the host's contents have it, COMMON at least.
     """
     out = []
     texts = [[x[0] for x in lines] for _, lines in pages]
@@ -208,7 +220,7 @@ def difference(pages: list[tuple[str, list[tuple[str, bool, bool]]]], host: tupl
             if sum(own[x] for x in same) <= COPY_SHARE * sum(own):
                 drop = same
                 break
-        out.append({x for x in drop if not (lines[x][1] and lines[x][2])})
+        out.append({x for x in drop if not (lines[x][1] and lines[x][2]) or counts[x] >= max(COMMON, n // 2 + 1)})
     return out
 
 
@@ -283,13 +295,14 @@ def ranges(rows: DataFrame, chunk_pages: int) -> tuple[dict[str, list[tuple[str,
 def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     """The main text of every page: page_id, url, text.
 
-    pages: page_id, url, html; other columns are ignored. Blocks of a page are lines: character references decoded,
-    white space turned into one space; what the markup itself names as menu, header, footer, sidebar, notice, advert,
-    form or comments is left out. Pages of a host are put in order of URL path and each is compared with its nearest
-    neighbour: the longest common subsequence of their lines is the site's frame and is deleted, but for paragraphs
-    and headings inside an article element, as articles may quote each other. A neighbour that shares most of what few
-    other pages of the host have is a copy of it and tells nothing; the next nearest is asked (see difference). If lines in an article element are left, the
-    text is those; else all that are left. Lines are joined by a line feed.
+    pages: page_id, url, html; other columns are ignored. Blocks of a page are lines, menus and all: character
+    references decoded, white space turned into one space. Pages of a host are put in order of URL path and each is
+    compared with its nearest neighbour: the longest common subsequence of their lines is the site's frame and is
+    deleted. A neighbour that shares most of what few other pages of the host have is a copy of it and tells nothing;
+    the next nearest is asked (see difference). What is left and differs from page to page, but lies in an element that
+    the markup names as menu, header, footer, sidebar, notice, advert, form or comments (nav, header, footer, aside,
+    form; NAMES), goes too. If lines in an article element are left, the text is those; else all that are left. Lines are
+    joined by a line feed.
 
     Hosts of more than chunk_pages pages are cut into ranges of that order, so no task holds a host of any size; a
     range is also given the EDGE nearest distinct contents on either side, so that a page at its end meets its true
@@ -357,7 +370,7 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
                 chunk.append(at)
                 own.append(True)
             got = [page_lines(x) for x in page]
-            cols = [pa.array([[x[0] for x in lines] for lines in got], lists), pa.array([bytes(x[1] + 2 * x[2] for x in lines) for lines in got], pa.binary())]
+            cols = [pa.array([[x[0] for x in lines] for lines in got], lists), pa.array([bytes(x[1] + 2 * x[2] + 4 * x[3] for x in lines) for lines in got], pa.binary())]
             whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), b.column(5), *cols], names=["page_id", "url", "host", "path", "row", "lines", "flags"])
             whole = whole.take(pa.array(took, pa.int64()))
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(chunk, pa.int32()), pa.array(own, pa.bool_())], names=[*whole.schema.names, "chunk", "own"])
@@ -371,11 +384,11 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
         counts = dict(zip(common.column("line").to_pylist(), common.column("count").to_pylist(), strict=True))
         having = None if n is None else (n, lambda x: counts.get(content([name, x]), 0))
         rows.sort(key=lambda r: (r["path"], r["url"] or "", r["row"]))
-        lines = [[(x, bool(f & 1), bool(f & 2)) for x, f in zip(r["lines"], r["flags"], strict=True)] for r in rows]
+        lines = [[(x, bool(f & 1), bool(f & 2), bool(f & 4)) for x, f in zip(r["lines"], r["flags"], strict=True)] for r in rows]
         drops = difference([(r["path"], x) for r, x in zip(rows, lines, strict=True)], having) if name else [set()] * len(rows)
         texts = []
         for own, drop in zip(lines, drops, strict=True):
-            left = [x for i, x in enumerate(own) if i not in drop]
+            left = [x for i, x in enumerate(own) if i not in drop and not x[3]]
             texts.append("\n".join(x[0] for x in ([x for x in left if x[1]] or left)))
         texts = [x for r, x in zip(rows, texts, strict=True) if r["own"]]
         rows = [r for r in rows if r["own"]]
