@@ -20,6 +20,7 @@ CHUNK_PAGES = 400  # pages of a host that are compared in one task; larger hosts
 EDGE = 6  # distinct contents on either side of a range that are sent to it from its neighbours
 COPY_SHARE = 0.6  # a neighbour that shares more of a page's own characters is a copy of it, and the next nearest is asked
 COMMON = 5  # a line that so many distinct contents of a host have is no page's own
+FULL = 20  # a host of so many distinct contents is not taken for near copies of one article
 OWN_SHARE = 0.05  # a page of fewer own characters may be one of many near copies
 
 #: Elements whose content is not text, read up to their end tag.
@@ -189,7 +190,7 @@ def difference(pages: list[tuple[str, list[tuple]]], host: tuple[int, Callable[[
 
     host: the number of the host's distinct contents and, for a line, how many of them have it (numbers below COMMON
     may be given as 0); counted from pages if left out. The frame is what the nearest neighbour shares that is no
-    copy. A copy shares most of the characters of the page's own lines, which few contents have; so there are at most
+    copy, and, on a host of FULL contents, what nearly all have. A copy shares most of the characters of the page's own lines, which few contents have; so there are at most
     4 of them, and the EDGE nearest distinct contents on either side are enough. If all are copies, or the page has
     next to nothing of its own, the frame is the lines that many contents have. With one other content there is no
     third to tell by, and a neighbour that shares most of the whole page is a copy. Articles may quote each other, so a
@@ -203,7 +204,9 @@ def difference(pages: list[tuple[str, list[tuple]]], host: tuple[int, Callable[[
         host = len(distinct), Counter(x for t in distinct.values() for x in set(t)).__getitem__
     n, having = host
     for i, (path, lines) in enumerate(pages):
-        lengths, counts = [len(x) for x in texts[i]], [having(x) for x in texts[i]]
+        counts = [having(x) for x in texts[i]]
+        sure = {x for x, k in enumerate(counts) if n >= FULL and k >= n - n // 10}  # lines of nearly all contents
+        lengths = [0 if x in sure else len(text) for x, text in enumerate(texts[i])]
         least, usual = _common_from(lengths, counts, n) if n > 2 else (n + 1, True)
         own = [x if k < least else 0 for x, k in zip(lengths, counts, strict=True)]
         drop = {x for x, k in enumerate(counts) if k >= least}
@@ -220,7 +223,7 @@ def difference(pages: list[tuple[str, list[tuple]]], host: tuple[int, Callable[[
             if sum(own[x] for x in same) <= COPY_SHARE * sum(own):
                 drop = same
                 break
-        out.append({x for x in drop if not (lines[x][1] and lines[x][2]) or counts[x] >= max(COMMON, n // 2 + 1)})
+        out.append({x for x in drop | sure if not (lines[x][1] and lines[x][2]) or counts[x] >= max(COMMON, n // 2 + 1)})
     return out
 
 

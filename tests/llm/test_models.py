@@ -296,7 +296,7 @@ def test_large_host_as_small(spark):
 @pytest.mark.parametrize("n", [4, 1000])
 def test_differencing_alone(spark, n):
     """No element or name tells the frame, which is longer than the texts: the pairs of pages do. Menus that change with the section go with it."""
-    frame = "".join(f"<div class=x{i}>entry {i} of a long list of things to see</div>" for i in range(30))
+    frame = "".join(f"<div class=x{i}>entry {i} of a long list of things to see</div>" for i in range(12 if n < 20 else 60))
     page = lambda i: f"{frame}<div>section {i // 40} of the site</div><div>text {i}, which is short but no stub of a page</div><div>more of it: {i * i}</div><div>the end of every page</div>"
     d = spark.createDataFrame([(i, f"http://host.example/{i // 40:02d}/{i:04d}", page(i)) for i in range(n)], "page_id long, url string, html string").repartition(4)
     assert sorted((r.page_id, r.text) for r in main_text(d).collect()) == [(i, f"text {i}, which is short but no stub of a page\nmore of it: {i * i}") for i in range(n)]
