@@ -47,8 +47,39 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; to be called when its results have been saved."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def note(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, over what is there."""
+    at, fs = _file(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def noted(spark: SparkSession, path: str) -> str | None:
+    """What note wrote at path; None if nothing is there."""
+    at, fs = _file(spark, path)
+    if not fs.exists(at):
+        return None
+    got = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(got)).decode()
+    finally:
+        got.close()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at, fs = _file(spark, path)
+    fs.delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -101,11 +132,12 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
 
     A list of up to BROADCAST_ROWS is broadcast, so that documents need not be shuffled; a longer one is joined.
     """
-    gone = stored(dropped.select(*[F.col(k).alias(f"__gone_{k}") for k in keys]).distinct(), "gone")
-    own = docs.withColumns({f"__own_{k}": c for k, c in keys.items()})
+    mine, others = ({k: unused(docs, f"{side}_{k}") for k in keys} for side in ("own", "gone"))
+    gone = stored(dropped.select(*[F.col(k).alias(others[k]) for k in keys]).distinct(), "gone")
+    own = docs.withColumns({mine[k]: c for k, c in keys.items()})
     same = None
     for k in keys:
-        one = F.col(f"__own_{k}").eqNullSafe(F.col(f"__gone_{k}"))
+        one = F.col(mine[k]).eqNullSafe(F.col(others[k]))
         same = one if same is None else same & one
     small = gone.count() <= BROADCAST_ROWS
     return own.join(F.broadcast(gone) if small else gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm._base import n_words, stored, table, text_or_empty
+from tessella.llm._base import n_words, stored, table, text_or_empty, unused
 
 BITS, LEVELS = 12, 3  # 36 bits of hash, seen 12 at a time
 BROADCAST_SOURCES = 50_000  # sources whose table of thresholds may be broadcast; beyond, a shuffled join
@@ -39,6 +39,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
 
 def _on_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     s = sources.withColumnRenamed("source", "s_source")
+    if not small:  # many sources: a few may still hold most rows
+        same = F.col("source").eqNullSafe(F.col("s_source"))
+        n = stored(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-sources")
+        most = (n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 1000
+        names = n.where(F.col("n") > most).select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"))  # fewer than 1000
+        hot = lambda df, c: df.join(F.broadcast(names), (F.coalesce(c, F.lit("")) == F.col("name")) & (F.isnull(c) == F.col("none")), "left_semi")
+        cold = lambda df, c: df.join(F.broadcast(names), (F.coalesce(c, F.lit("")) == F.col("name")) & (F.isnull(c) == F.col("none")), "left_anti")
+        return hot(rows, "source").join(F.broadcast(hot(s, "s_source")), same).drop("s_source").unionByName(cold(rows, "source").join(cold(s, "s_source"), same).drop("s_source"))
     return rows.join(F.broadcast(s) if small else s, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
 
 
@@ -84,7 +92,9 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     Null text has size 0 and null source is a source of its own. The hash is of doc_id alone, so rows that repeat a
     doc_id are taken alike; reruns agree. A source of size 0 has target 0; an empty table gives an empty result. A
-    bucket is summed before any shuffle, so a source that holds most rows costs no more than another.
+    bucket is summed before any shuffle, so a source that holds most rows costs no more than another. Targets are put
+    in order in one task, of one narrow row for each source; beyond BROADCAST_SOURCES of them documents meet their
+    source's row in a shuffled join, but for sources of more than 1/1000 of the rows, which are still broadcast.
     """
     rows, cuts, small = source_cuts(docs, **options)
     out = _on_source(rows, cuts, small)
@@ -95,10 +105,11 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, *, bits: int = BITS, levels: int = LEVELS, **options) -> DataFrame:
     """docs with all their columns, each row as often as the mix takes it. Edge cases as for mix_sources."""
     _, cuts, small = source_cuts(docs, bits=bits, levels=levels, **options)
-    c = cuts.select(F.col("source").alias("__source"), F.col("repeats").alias("__repeats"), F.col("cut").alias("__cut"))
-    out = docs.withColumn("__hash", _hash(bits, levels)).join(F.broadcast(c) if small else c, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    times = (F.col("__repeats") + F.when(F.col("__hash") < F.col("__cut"), 1).otherwise(0)).cast("int")
-    return out.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{x}`") for x in docs.columns])
+    source, repeats, cut, hashed, time = (unused(docs, f"mix_{x}") for x in ("source", "repeats", "cut", "hash", "time"))
+    c = cuts.select(F.col("source").alias(source), F.col("repeats").alias(repeats), F.col("cut").alias(cut))
+    out = docs.withColumn(hashed, _hash(bits, levels)).join(F.broadcast(c) if small else c, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    times = (F.col(repeats) + F.when(F.col(hashed) < F.col(cut), 1).otherwise(0)).cast("int")
+    return out.withColumn(time, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

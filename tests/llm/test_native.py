@@ -3,8 +3,12 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import mixing
 from tessella.llm.exact_dedup import DigestIndex, exact_dedup, keep_first
 from tessella.llm.mixing import mix_sources, mixed
 from tessella.llm.sharding import assign, load_map, rebalance, save_map, shard_documents
@@ -95,12 +99,43 @@ def test_keep_first(crowded, rows):
 
 
 def test_index_is_kept(spark, docs, tmp_path):
-    index = DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    path = f"file://{tmp_path}/index"
+    index = DigestIndex(spark, path, 4)
     assert sum(r.kept for r in index.add(docs).collect()) > 0
-    again = DigestIndex.attach(spark, f"file://{tmp_path}/index", 4)
-    spark.sql(f"REFRESH TABLE {again.name}")
+    index.close()
+    again = DigestIndex(spark, path)
+    assert again.buckets == 4
+    with pytest.raises(ValueError, match="4 buckets"):
+        DigestIndex(spark, path, 8)
     second = again.add(docs.unionByName(spark.createDataFrame([(900, "brand new", "en", "s", 1)], docs.schema))).collect()
     assert [r.doc_id for r in second if r.kept] == [900]
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in (index.name, again.name)]
+
+
+def test_batch_once_more(spark, docs, empty, tmp_path):
+    """A named batch gives the same answer again, dealt otherwise, and after its append was cut short."""
+    seen = lambda df: sorted(str((r.doc_id, bytes(r.digest), r.keep_id, r.group_size, r.kept)) for r in df.collect())
+    index = DigestIndex(spark, f"file://{tmp_path}/index", 3)
+    first = seen(index.add(docs, "monday"))
+    assert seen(index.add(docs.repartition(5), "monday")) == first and "True" in "".join(first)
+    assert not any(r.kept for r in index.add(docs, "tuesday").collect()) and index.add(empty, "none").count() == 0
+    rows = index.rows().count()
+    assert rows == index.rows().select("digest").distinct().count() == sum("True" in x for x in first)
+    half = DigestIndex(spark, f"file://{tmp_path}/half", 3)
+    part = index.rows().where("batch = 'monday'").orderBy("digest").limit(rows // 2)
+    half._append(spark.createDataFrame(part.collect(), part.schema), half.name)
+    assert seen(half.add(docs, "monday")) == first
+
+
+def test_compaction(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = DigestIndex(spark, path, 2, compact_after=2)
+    out = [index.add(docs.where(F.col("doc_id") % 3 == i), f"b{i}") for i in range(3)]
+    kept = [sum(r.kept for r in x.collect()) for x in out]  # read after the files were rewritten
+    assert index.state == {"buckets": 2, "version": 1, "batches": 1} and index.rows().count() == sum(kept)
+    assert len(index.rows().inputFiles()) <= 2
+    assert not any(r.kept for r in DigestIndex(spark, path).add(docs.where("doc_id is not null"), "later").collect())
 
 
 def test_shards(docs, rows, crowded):
@@ -152,9 +187,37 @@ def test_two_runs_on_one_map(spark, docs, rows, tmp_path):
         load[r.shard] += r.size
     assert max(load.values()) < 1.05 * min(load.values())
     assert [load_map(spark, path, v).first().version for v in range(4)] == [0, 1, 2, 3]
+    again = shard_documents(d, shards=6, slots=500, map_path=path).collect()
+    assert sorted(map(str, again)) == sorted(map(str, runs[3])) and load_map(spark, path).first().version == 3
     assert {r.vslot: r.shard for r in load_map(spark, path, 0).collect()} == first
 
 
+def test_rows_without_an_id_spread(spark):
+    d = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat('text ', id) as text")
+    got = shard_documents(d, shards=4).collect()
+    load = Counter(r.shard for r in got)
+    assert len(got) == 4000 and max(load.values()) < 1.1 * min(load.values()) and len({r.vslot for r in got if r.doc_id is None}) > 1500
+    for s in load:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(load[s]))
+
+
+def test_many_sources(spark, docs, monkeypatch):
+    """Beyond the bound of the broadcast the answer is the same."""
+    seen = lambda: sorted(map(str, mix_sources(docs).collect()))
+    want = seen()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert seen() == want
+
+
+def test_clashing_names(docs):
+    names = ("mix_source", "mix_repeats", "mix_cut", "mix_hash", "mix_time", "key_id", "key_digest", "own_id", "gone_id", "own_digest", "f_source", "s_source", "part", "begin")
+    wide = docs.withColumns({c: F.lit(1) for c in names})
+    for stage in (mixed, keep_first):
+        out = stage(wide)
+        assert out.columns == wide.columns and sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, stage(docs).collect()))
+    assert exact_dedup(wide).count() == mix_sources(wide).count() == shard_documents(wide).count() == docs.count()
+
+
 def test_empty(empty):
     assert mix_sources(empty).count() == 0 and mixed(empty).count() == 0
     assert exact_dedup(empty).count() == 0 and keep_first(empty).count() == 0
