@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,40 +14,47 @@ from tessella.llm.topk import op1_top_k, top_k
 
 
 def best(vectors, asks, k):
-    out = set()
-    for q, x in {(a, tuple(b)) for a, b in asks}:
-        found = {(-sum(a * b for a, b in zip(x, y)), v) for v, y in {(a, tuple(b)) for a, b in vectors} if v != q and len(y) == len(x)}
-        out |= {(q, i + 1, v, -s) for i, (s, v) in enumerate(sorted(found)[:k])}
-    return out
+    """Rows that repeat are candidates each; queries that repeat count once."""
+    out = []
+    for q in {a for a, _ in asks}:
+        found = [(-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(x, y)))), v) for x in {tuple(b) for a, b in asks if a == q} for v, y in vectors if v != q and len(y) == len(x)]
+        out += [(q, i + 1, v, -s) for i, (s, v) in enumerate(sorted(found)[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize(("n", "dim", "low", "block"), [(300, 6, -40, 64), (200, 2, -3, 32), (4, 3, -9, 8), (600, 1, -50, 700), (500, 3, 0, 900)])
 def test_top_k(spark, n, dim, low, block):
     r = random.Random(n)
     rows = [(i, [r.randint(low, 40) for _ in range(dim)]) for i in range(n)]
-    rows += [rows[1], rows[1], (n, None), (n + 1, [1, None]), (None, [1] * dim), (n + 2, [5, 5, 5, 5, 5, 5, 5]), (n + 3, [])]
-    d = spark.createDataFrame(rows, "vec_id long, vector array<long>")
-    got = top_k(d, F.col("vec_id") % 7 == 0, block_rows=block, query_rows=16)
+    rows += [rows[1], rows[1], rows[0], (7, [9] * dim), (n, None), (n + 1, [1, None]), (None, [1] * dim), (n + 2, [5, 5, 5, 5, 5, 5, 5]), (n + 3, []), (14 * n, [0] * dim)]
+    d = spark.createDataFrame(rows, "vec_id long, vector array<long>").withColumns({c: F.lit(1) for c in ("dim", "ask", "block", "rank", "score", "query_id")})
+    got = top_k(d, F.col("vec_id") % 7 == 0, block_rows=block, query_bytes=1000)
     good = [(i, v) for i, v in rows if i is not None and v and None not in v]
-    assert {tuple(x) for x in got.collect()} == best(good, [x for x in good if x[0] % 7 == 0], 5)
+    assert sorted(tuple(x) for x in got.collect()) == best(good, [x for x in good if x[0] % 7 == 0], 5)
+
+
+@pytest.mark.parametrize("size", [2**20, 2**28, 2**40, 2**62])
+def test_large_values(spark, size):
+    r = random.Random(size)
+    rows = [(i, [r.randint(-size, size) for _ in range(3)]) for i in range(120)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") % 7 == 0, block_rows=50)
+    assert sorted(tuple(x) for x in got.collect()) == best(rows, [x for x in rows if x[0] % 7 == 0], 5)
 
 
 def test_top_k_stops_early():
-    """On skewed data the bound falls before all rows are seen, and the answer is still exact."""
+    """On skewed data the bound falls before all rows are seen, and the answer is still exact; on dense data of like weight it falls late, and is exact too."""
     r = np.random.default_rng(0)
-    x = (r.exponential(20, (4000, 2)) ** 2).astype(np.int64)
     ids = np.arange(4000)
-    lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype("<i4"))
-    seen = []
-    union = np.unique
-    topk.np.unique = lambda *a, **b: seen.append(len(out := union(*a, **b))) or out
-    try:
-        got = topk.threshold_search(ids, x, lists, np.array([0]), np.array([[3, 4]]), 5)
-    finally:
-        topk.np.unique = union
-    s = x @ np.array([3, 4])
-    s[0] = -1
-    assert [g[1] for g in got] == np.lexsort((ids, -s))[:5].tolist() and max(seen) < 1500
+    for x, most in (((r.exponential(20, (4000, 2)) ** 2).astype(np.int64), 1500), (r.integers(-256, 256, (4000, 24)), 4000)):
+        lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype("<i4"))
+        q = r.integers(1, 9, (3, x.shape[1]))
+        seen = []
+        got = topk.threshold_search(ids, x, lists, np.array([0, 1, 2]), q, 5, seen)
+        for i in range(3):
+            s = x @ q[i]
+            s[i] = -(10**9)
+            assert [g[1] for g in got if g[0] == i] == np.lexsort((ids, -s))[:5].tolist()
+        assert len(seen) == 3 and max(seen) < most
 
 
 def test_top_k_empty(spark):
@@ -61,6 +69,20 @@ def test_op1_skips_bad_vectors(spark, tmp_path):
     assert [tuple(r) for r in op1_top_k(spark, str(tmp_path)).orderBy("rank").collect()] == [(0, 1, 6, 128 * 128 + 25 * 25), (0, 2, 1, 128 * 64 - 25 * 77)]
 
 
+def test_op1_against_its_sql(spark, tmp_path):
+    """Rows that repeat, ids that repeat with another vector, and components of 1e30."""
+    r = random.Random(8)
+    rows = [(i % 90, [float(np.float32(r.uniform(-1, 1))) for _ in range(4)]) for i in range(120)]
+    rows += [(0, [0.5, 0.5, 0.5, 0.5]), (1, [0.25] * 4), (1, [0.25] * 4), rows[5], rows[5], (50, rows[50][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, op1_top_k(spark, str(tmp_path)).collect())) == sorted(c.execute(topk.OP1_SQL).fetchall())
+    spark.createDataFrame([*rows, (200, [1e30, -1e30, 0.0, 1.0]), (201, [1e30] * 4)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/huge/embeddings.parquet")
+    got = op1_top_k(spark, f"{tmp_path}/huge").collect()
+    assert max(x.score for x in got if x.query_id == 200) == 2**63 - 1 and len(got) == 5 * len({x.query_id for x in got})
+
+
 # ---------------------------------------------------------------- n-grams
 
 
