@@ -20,7 +20,9 @@ WIDER = 0.75  # a size band's lower bound by its upper
 SIGNATURES_A_GROUP = 700_000  # signatures that are matched in one task
 PART_BYTES = 1 << 20  # text that is hashed at once
 HELD = 700_000  # signatures that a task gathers before it sends them on
-LIST_BYTES, LIST_MOST = 32 << 20, 4096  # bytes of sets, and sets, of one list of candidates
+LIST_BYTES, LIST_MOST = 8 << 20, 512  # bytes of sets, and sets, of one list of candidates
+LEAST_CUT = 16  # sets of a list, however large they are
+TASK_BYTES, TASK_MOST = 8 << 20, 512  # of one component that a task settles whole
 LOW = (3, 2, 1)  # signatures of fewer shingles say little and are left out where others must match
 BROADCAST_IDS = 500_000
 SMALL_BYTES = 64 << 10  # sets of components up to that size are settled many at a time
@@ -194,8 +196,8 @@ class PartEnum:
         return np.concatenate(out) if out else np.empty(0, U)
 
 
-def candidate_lists(sigs: np.ndarray, refs: np.ndarray, most: list[int]) -> list[np.ndarray]:
-    """Distinct lists of the refs that share a signature. A list of more than most[group] is cut up and every two pieces make one list."""
+def candidate_lists(sigs: np.ndarray, refs: np.ndarray, most: list[int]) -> list[list[np.ndarray]]:
+    """Distinct lists of the refs that share a signature. A list of more than most[group] comes in pieces of half as many, of which every two are to meet."""
     order = np.lexsort((refs, sigs))
     sigs, refs = sigs[order], refs[order]
     fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (refs[1:] != refs[:-1]))) if len(sigs) else np.empty(0, bool)
@@ -207,18 +209,11 @@ def candidate_lists(sigs: np.ndarray, refs: np.ndarray, most: list[int]) -> list
         return []
     sums = np.concatenate(([U(0)], np.cumsum(mix(refs.astype(np.int64).view(U)), dtype=U)))
     marks = sums[begins + sizes] - sums[begins]
-    out: dict[bytes, np.ndarray] = {}
+    out: dict[bytes, list[np.ndarray]] = {}
     for at in np.unique(np.stack([marks, sizes.astype(U), sigs[begins] & U(63)]), axis=1, return_index=True)[1].tolist():
         own = refs[begins[at] : begins[at] + sizes[at]]
         cap = most[int(sigs[begins[at]] & U(63))]
-        if len(own) <= cap:
-            out.setdefault(own.tobytes(), own)
-        else:
-            pieces = np.array_split(own, -(-len(own) // (cap // 2)))
-            for i, x in enumerate(pieces):
-                for y in pieces[i + 1 :]:
-                    both = np.concatenate([x, y])
-                    out.setdefault(both.tobytes(), both)
+        out.setdefault(own.tobytes() + cap.to_bytes(4), [own] if len(own) <= cap else np.array_split(own, -(-len(own) // (cap // 2))))
     return list(out.values())
 
 
@@ -327,7 +322,8 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
 
     docs: doc_id, text; other columns are ignored. Two documents link when 100 * |intersection| >= percent * |union|.
     Documents of one set are one node from the start. Sets that share a PartEnum signature make a list of candidates,
-    of bounded length; a longer one is cut into pieces that meet each other. All pairs of a list are held against each
+    of bounded length; a longer one is cut into pieces, and every two pieces are a row of two numbers that is dealt out
+    before it meets their sets. All pairs of a list are held against each
     other by sizes and sketches, which rule out nearly all that are not similar; what is left falls into provisional
     components, each of which holds whole components of the links. Only their sets are read again. A provisional
     component of bounded bytes is settled by one task; in a larger one each set is first compared in the longest of its
@@ -404,18 +400,29 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85) -> D
                     held = 0
         yield flush()
 
-    most = [int(min(LIST_MOST, max(16, LIST_BYTES // (8 * enum.high(g))))) for g in range(64)]
+    most = [int(min(LIST_MOST, max(LEAST_CUT, LIST_BYTES // (8 * enum.high(g))))) for g in range(64)]
 
     def match(group: pa.Table) -> pa.Table:
         sigs, refs = (np.concatenate([np.frombuffer(x.as_buffer(), U) for x in group.column(c)]) for c in ("sigs", "refs"))
         lists = candidate_lists(sigs, refs.view(np.int64), most)
-        sizes = np.cumsum([0, *[len(x) for x in lists]]).astype(np.int32)
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        return pa.table({"refs": pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int64()))})
+        flat = [x for pieces in lists for x in pieces]
+        ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+        cuts = [(len(pieces), i, ref(blake2b(b"".join(x.tobytes() for x in pieces), digest_size=8).digest()) if len(pieces) > 1 else 0) for pieces in lists for i in range(len(pieces))]
+        values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64), pa.int64())
+        return pa.table({"refs": pa.ListArray.from_arrays(pa.array(ends), values), **{c: pa.array([x[i] for x in cuts], pa.int64()) for i, c in enumerate(("pieces", "piece", "whole"))}})
 
-    lists = rows.select("text").mapInArrow(sign, "part long, sigs binary, refs binary").groupBy("part").applyInArrow(match, "refs array<long>").distinct()
+    lists = rows.select("text").mapInArrow(sign, "part long, sigs binary, refs binary").groupBy("part").applyInArrow(match, "refs array<long>, pieces long, piece long, whole long").distinct()
     lists = stored(lists.withColumn("list", F.monotonically_increasing_id()), "join-lists")
-    members = lists.select("list", F.size("refs").alias("size"), F.explode("refs").alias("ref"))
+    members = lists.where("pieces = 1").select("list", F.size("refs").alias("size"), F.explode("refs").alias("ref"))
+    cut = lists.where("pieces > 1")
+    if not cut.isEmpty():
+        # every two pieces of a long list: rows of numbers, dealt out before they meet their members
+        pairs = cut.where(F.col("piece") < F.col("pieces") - 1).select("whole", "piece", F.explode(F.sequence(F.col("piece") + 1, F.col("pieces") - 1)).alias("other"))
+        pairs = pairs.withColumn("list", F.xxhash64("whole", "piece", "other"))
+        sides = pairs.select("list", "whole", "piece").unionByName(pairs.select("list", "whole", F.col("other").alias("piece"))).repartition("list")
+        met = sides.join(cut.select("whole", "piece", "refs").hint("shuffle_hash"), ["whole", "piece"])
+        members = members.unionByName(met.select("list", (2 * F.size("refs")).alias("size"), F.explode("refs").alias("ref")))
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:

@@ -1,6 +1,7 @@
 """Exact top-k and the n-gram join against brute force."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -142,6 +143,7 @@ def test_large_components(spark, monkeypatch, most):
     """With components that are too large to be settled many at a time, or by one task."""
     monkeypatch.setattr(ngram_join, "SMALL_BYTES", most[0])
     monkeypatch.setattr(ngram_join, "LIST_BYTES", most[1])
+    monkeypatch.setattr(ngram_join, "TASK_BYTES", most[1])
     rows = drifting(7, 200)
     got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85)
@@ -190,10 +192,29 @@ def test_long_texts(monkeypatch):
 
 def test_long_lists_are_cut():
     sigs, refs = np.repeat(np.arange(64, 128 * 2, 64, dtype=np.uint64), 50), np.tile(np.arange(50), 3)
-    lists = candidate_lists(sigs, refs, [8] * 64)
-    assert all(len(x) <= 8 for x in lists)
-    met = {(a, b) for x in lists for a in x.tolist() for b in x.tolist()}
-    assert len(met) == 2500
+    (pieces,) = candidate_lists(sigs, refs, [8] * 64)
+    assert all(len(x) <= 4 for x in pieces) and np.concatenate(pieces).tolist() == list(range(50))
+    assert [len(x) for x in candidate_lists(sigs, refs, [50] * 64)[0]] == [50]
+
+
+def test_one_signature_of_many_sets():
+    """50,000 sets under one signature leave the task as one list in pieces, in memory that grows with the list, not with its square."""
+    sigs, refs = np.full(50_000, 64, np.uint64), np.arange(50_000)
+    tracemalloc.start()
+    (pieces,) = candidate_lists(sigs, refs, [512] * 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and max(map(len, pieces)) <= 256 and sum(map(len, pieces)) == 50_000
+
+
+def test_long_lists_meet(spark, monkeypatch):
+    """With lists that are cut into pieces of two sets, and components that no task settles whole, the answer is the same."""
+    for name, value in (("LIST_MOST", 4), ("LIST_BYTES", 1), ("TASK_MOST", 3), ("SMALL_BYTES", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "LEAST_CUT", 4)
+    rows = drifting(9, 120) + [(1000 + i, " ".join([*(f"c{j}" for j in range(60)), f"own{i}"])) for i in range(40)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85)
 
 
 def test_stars(spark):
