@@ -165,24 +165,86 @@ def test_base_and_counts(docs, rows, monkeypatch):
     assert sorted((str(r.doc_id), round(r.score, 3)) for r in again) == scores[0]
 
 
+def test_score_token_by_token(docs, rows, crowded, monkeypatch):
+    """Every document's score by a loop over its tokens, each normalised by a sum over all classes; counts by loops too."""
+    monkeypatch.setattr(lm, "KNOWN", 60)
+    monkeypatch.setattr(lm, "OWN_LEAST", 40)
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    m, _, _ = lm.learn(docs.select("doc_id", out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")))
+    own = {w: i for i, w in enumerate(m["own"])}
+    c = Counter(x for i, t, *_ in rows if not held(i) for x in [*(t or "").encode().lower().split(), b" "])
+    cls = lambda w: own.get(w, len(own) + lm.shape(w))
+    mass, kinds = Counter(), Counter()
+    for w, n in c.items():
+        mass[cls(w)] += n
+        kinds[cls(w)] += 1
+    assert len(own) == 40 and m["total"] == sum(c.values())
+
+    def chance(w, c1, c2):
+        s = [float((m["r1"][c1] + m["r2"][c2]) @ m["q"][k] + m["bias"][k]) for k in range(len(m["q"]))]
+        top = max(s)
+        of_class = s[cls(w)] - top - np.log(sum(np.exp(x - top) for x in s))
+        if w in own:
+            return of_class / np.log(10)
+        k = cls(w)
+        return of_class / np.log(10) + (log10((c[w] - m["gap"]) / mass[k]) if w in c else log10(m["gap"] * kinds[k] / mass[k]) if kinds[k] else 0.0)
+
+    def score(t):
+        before, total = (0, 0), 0.0
+        for w in [*(t or "").encode().lower().split(), b" "]:
+            total += chance(w, *before)
+            before = (cls(w), before[0])
+        return total
+
+    few = [x for x in rows if len(x[1] or "") < 1000]
+    for d in (docs, crowded):
+        got = sorted((str(r.doc_id), round(r.score, 2)) for r in lm.score_documents(d, out).collect() if r.n_tokens < 1000)
+        assert np.allclose([x for _, x in got], [x for _, x in sorted((str(i), round(score(t), 2)) for i, t, *_ in few)], atol=0.02)
+
+
+def test_pair_counts_by_hand(spark):
+    r = random.Random(3)
+    texts = [[r.randrange(9) for _ in range(r.randrange(1, 12))] for _ in range(60)]
+    d = spark.createDataFrame([(np.array(x, np.uint16).tobytes(), i % 4 == 0) for i, x in enumerate(texts)], "ids binary, check boolean").repartition(5)
+    want = np.zeros((2, 2, 9, 9))
+    for i, x in enumerate(texts):
+        for j, a in enumerate(x):
+            want[int(i % 4 == 0), 0, x[j - 1] if j > 0 else 0, a] += 1
+            want[int(i % 4 == 0), 1, x[j - 2] if j > 1 else 0, a] += 1
+    assert (lm.pair_counts(d, 9) == want).all()
+
+
+def test_vectors_grow_with_the_corpus():
+    assert [lm.own_words(n) for n in (0, 10_000, 300_000)] == [768] * 3 and lm.own_words(64 * 300_000) == 2 * 768 < lm.own_words(10**12)
+
+
+def test_hot_words_of_unlearnt_rows(spark):
+    """A word that training lacks may fill the rows that are not learnt from: it is sent once for many of them."""
+    d = spark.createDataFrame([(i, "common words here" if i % 3 else "strange " * 50) for i in range(3000)], "doc_id long, text string").repartition(2)
+    got = lm.score_documents(d, F.col("doc_id") % 3 == 0).collect()
+    assert {(r.n_tokens, r.n_known) for r in got if r.held_out} == {(51, 1)} and len({round(r.score, 6) for r in got if r.held_out}) == 1
+
+
 def test_probabilities_sum_to_one():
     r = np.random.default_rng(0)
-    n = r.poisson(3.0, (2, lm.CLASSES, lm.CLASSES)) * (r.random((2, lm.CLASSES, lm.CLASSES)) < 0.01)
-    m = lm.train(np.stack([n, n]).astype(float))
-    a1, a2, z = lm.log_tables(m)
-    for c1, c2 in ((0, 0), (5, 900), (1023, 17)):
+    k = 300
+    n = r.poisson(3.0, (2, 2, k, k)) * (r.random((2, 2, k, k)) < 0.02)
+    a1, a2, z = lm.log_tables(lm.train(n.astype(np.float32)))
+    for c1, c2 in ((0, 0), (5, 200), (299, 17)):
         assert abs(np.exp(a1[c1] + a2[c2] - z[c1, c2]).sum() - 1) < 1e-3
 
 
 def test_nce_learns_pairs():
     k = 40
-    n = np.full((k, k), 0.2)
-    n[np.arange(k), (np.arange(k) + 1) % k] = 50
+    n = np.full((2, k, k), 0.2, np.float32)
+    n[0, np.arange(k), (np.arange(k) + 1) % k] = 50
+    n[1, np.arange(k), (np.arange(k) + 2) % k] = 50
     r, s = lm.train_nce(n, width=24)
-    p = n.sum(axis=0) / n.sum()
-    e = np.exp(r @ s.T) * p
-    e /= e.sum(axis=1, keepdims=True)
-    assert e[np.arange(k), (np.arange(k) + 1) % k].mean() > 0.6
+    p = n[0].sum(axis=0) / n[0].sum()
+    for lag in (0, 1):
+        e = np.exp(r[lag] @ s.T) * p
+        e /= e.sum(axis=1, keepdims=True)
+        assert e[np.arange(k), (np.arange(k) + 1 + lag) % k].mean() > 0.6
 
 
 def test_model_beats_unigrams(spark):
