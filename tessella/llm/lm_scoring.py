@@ -213,33 +213,41 @@ def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 # ---------------------------------------------------------------- model
 
 
-def train_nce(n: np.ndarray, *, width: int = 48, noise: float = 16.0, steps: int = 120, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train_nce(n: np.ndarray, *, width: int = 80, noise: float = 16.0, draws: int = 4, steps: int = 120, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Context vectors R[lag] and the class vectors Q that both lags share, from pair counts n[lag, context, class].
 
     Noise-contrastive estimation with the classes' own frequencies as noise: log sigma(s - log(noise * p)) for each
     pair and log sigma(log(noise * p) - s) for each noise word, s = R[lag][c] . Q[w] + log p[w]. A step takes all pairs
-    of both lags, by their counts, and draws noise words anew, half as many as there are classes; each stands in every
-    context for its part of the noise there. So a step costs the same for any corpus.
+    of both lags, by their counts, and draws noise words anew, `draws` times as many as there are classes; each stands
+    in every context for its part of the noise there. So a step costs the same for any corpus.
     """
     lags, k, _ = n.shape
     total = max(float(n[0].sum()), 1.0)
     p = (n[0].sum(axis=0, dtype=np.float64) + 0.5) / (total + 0.5 * k)
     ends = np.cumsum(p)
     own = (n / np.float32(total)).astype(np.float32)
-    rand = own.sum(axis=2, keepdims=True) * np.float32(noise / max(1, k // 2))
+    rand = own.sum(axis=2, keepdims=True) * np.float32(noise / (draws * k))
     draw = np.random.default_rng(seed)
     r, q = (draw.standard_normal((lags, k, width)) * 0.1).astype(np.float32), (draw.standard_normal((k, width)) * 0.1).astype(np.float32)
     means, squares = [np.zeros_like(r), np.zeros_like(q)], [np.zeros_like(r), np.zeros_like(q)]
-    chance = lambda s: 1 / (1 + np.float32(noise) * np.exp(-np.clip(s, -30, 30)))  # that a pair is no noise
     for t in range(1, steps + 1):
-        drawn = np.minimum(np.searchsorted(ends, draw.random(max(1, k // 2)) * ends[-1]), k - 1)
+        drawn = np.minimum(np.searchsorted(ends, draw.random(draws * k) * ends[-1]), k - 1)
+        times = np.bincount(drawn, minlength=k).astype(np.float32)
         up_r, up_q = np.zeros_like(r), np.zeros_like(q)
         for lag in range(lags):
-            true = own[lag] * (1 - chance(r[lag] @ q.T))
-            false = rand[lag] * chance(r[lag] @ q[drawn].T)
-            up_r[lag] = true @ q - false @ q[drawn]
-            up_q += true.T @ r[lag]
-            np.subtract.at(up_q, drawn, false.T @ r[lag])
+            for at in range(0, k, 128):  # contexts, as many as a processor's cache holds
+                some = slice(at, at + 128)
+                true = r[lag, some] @ -q.T
+                np.exp(np.minimum(true, 60, out=true), out=true)
+                true *= np.float32(noise)
+                true += 1
+                np.reciprocal(true, out=true)  # the chance that a pair is no noise
+                pull = rand[lag, some] * times
+                pull += own[lag, some]
+                pull *= true
+                np.subtract(own[lag, some], pull, out=pull)
+                up_r[lag, some] = pull @ q
+                up_q += pull.T @ r[lag, some]
         for i, (x, d) in enumerate(((r, up_r), (q, up_q))):
             d = d - np.float32(PRIOR / total) * x
             means[i] = 0.9 * means[i] + 0.1 * d
