@@ -20,9 +20,9 @@ WIDER = 0.75  # a size band's lower bound by its upper
 SIGNATURES_A_GROUP = 700_000  # signatures that are matched in one task
 PART_BYTES = 1 << 20  # text that is hashed at once
 HELD = 700_000  # signatures that a task gathers before it sends them on
-LIST_BYTES, LIST_MOST = 8 << 20, 512  # bytes of sets, and sets, of one list of candidates
+LIST_BYTES, LIST_MOST = 32 << 20, 4096  # bytes of sets, and sets, of one list of candidates
 LEAST_CUT = 16  # sets of a list, however large they are
-TASK_BYTES, TASK_MOST = 8 << 20, 512  # of one component that a task settles whole
+TASK_BYTES, TASK_MOST = 32 << 20, 4096  # of one component that a task settles whole
 LOW = (3, 2, 1)  # signatures of fewer shingles say little and are left out where others must match
 BROADCAST_IDS = 500_000
 SMALL_BYTES = 64 << 10  # sets of components up to that size are settled many at a time
