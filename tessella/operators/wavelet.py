@@ -56,11 +56,24 @@ STEPS_97 = tuple((1 - i % 2, _times(c)) for i, c in enumerate((ALPHA, BETA, GAMM
 UNSTEPS_97 = tuple((i % 2, _times(-c)) for i, c in enumerate((DELTA, GAMMA, BETA, ALPHA)))
 
 
-def forward_1d(df: DataFrame, keys: Sequence[str], index: str, kind: str = "53") -> DataFrame:
+def _kept(df: DataFrame, index: str, inside: str | None) -> DataFrame:
+    return df.withColumns({"__v": F.col("v"), "__i": F.col(index)}) if inside else df
+
+
+def _only(out: DataFrame, index: str, inside: str | None) -> DataFrame:
+    """Rows outside as _kept found them."""
+    if not inside:
+        return out
+    return out.withColumns({c: F.when(F.col(inside), F.col(c)).otherwise(F.col(old)) for c, old in (("v", "__v"), (index, "__i"))}).drop("__v", "__i")
+
+
+def forward_1d(df: DataFrame, keys: Sequence[str], index: str, kind: str = "53", inside: str | None = None) -> DataFrame:
     """Transform the signal in v along index within keys; index becomes the coefficient's place, low band first.
 
-    All steps share one window specification: one exchange and one sort. A signal of one sample stays as it is.
+    All steps share one window specification: one exchange and one sort. A signal of one sample stays as it is. With
+    `inside`, a boolean column, rows where it is false pass through.
     """
+    keys, df = [*keys, *([inside] if inside else [])], _kept(df, index, inside)
     out = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)).cast("int"))
     if kind == "97":
         out = out.withColumn("v", F.col("v").cast("double"))
@@ -69,11 +82,12 @@ def forward_1d(df: DataFrame, keys: Sequence[str], index: str, kind: str = "53")
     if kind == "97":
         scale = F.when(F.col("__n") < 2, 1.0).when(F.col(index) % 2 == 0, SCALE_INVERSE).otherwise(SCALE)
         out = out.withColumn("v", F.col("v") * scale)
-    return out.withColumn(index, split_index(F.col(index), F.col("__n"))).drop("__n")
+    return _only(out.withColumn(index, split_index(F.col(index), F.col("__n"))).drop("__n"), index, inside)
 
 
-def inverse_1d(df: DataFrame, keys: Sequence[str], index: str, kind: str = "53") -> DataFrame:
+def inverse_1d(df: DataFrame, keys: Sequence[str], index: str, kind: str = "53", inside: str | None = None) -> DataFrame:
     """Undo forward_1d."""
+    keys, df = [*keys, *([inside] if inside else [])], _kept(df, index, inside)
     out = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)).cast("int"))
     out = out.withColumn(index, merge_index(F.col(index), F.col("__n")))
     if kind == "97":
@@ -81,16 +95,16 @@ def inverse_1d(df: DataFrame, keys: Sequence[str], index: str, kind: str = "53")
         out = out.withColumn("v", F.col("v").cast("double") * scale)
     for parity, update in UNSTEPS_53 if kind == "53" else UNSTEPS_97:
         out = _lift(out, keys, index, parity, update)
-    return out.drop("__n")
+    return _only(out.drop("__n"), index, inside)
 
 
-def forward_2d(df: DataFrame, keys: Sequence[str], kind: str = "53") -> DataFrame:
+def forward_2d(df: DataFrame, keys: Sequence[str], kind: str = "53", inside: str | None = None) -> DataFrame:
     """Rows, then columns of (keys, y, x, v): two exchanges."""
-    return forward_1d(forward_1d(df, [*keys, "y"], "x", kind), [*keys, "x"], "y", kind)
+    return forward_1d(forward_1d(df, [*keys, "y"], "x", kind, inside), [*keys, "x"], "y", kind, inside)
 
 
-def inverse_2d(df: DataFrame, keys: Sequence[str], kind: str = "53") -> DataFrame:
-    return inverse_1d(inverse_1d(df, [*keys, "x"], "y", kind), [*keys, "y"], "x", kind)
+def inverse_2d(df: DataFrame, keys: Sequence[str], kind: str = "53", inside: str | None = None) -> DataFrame:
+    return inverse_1d(inverse_1d(df, [*keys, "x"], "y", kind, inside), [*keys, "y"], "x", kind, inside)
 
 
 def sizes(width: int, height: int, levels: int) -> list[tuple[int, int]]:
@@ -103,21 +117,21 @@ def sizes(width: int, height: int, levels: int) -> list[tuple[int, int]]:
 
 
 def decompose(df: DataFrame, keys: Sequence[str], width: int, height: int, levels: int, kind: str = "53") -> DataFrame:
-    """Several levels over planes of one size: each level transforms the low band of the one before."""
+    """Several levels over planes of one size: each level transforms the low band of the one before; the rest passes through, so a level is computed once, in two exchanges."""
     if kind == "97":
         df = df.withColumn("v", F.col("v").cast("double"))
     for w, h in sizes(width, height, levels):
         low = (F.col("x") < w) & (F.col("y") < h)
-        df = forward_2d(df.where(low), keys, kind).unionByName(df.where(~low)) if (w, h) != (width, height) else forward_2d(df, keys, kind)
+        df = forward_2d(df.withColumn("__low", low), keys, kind, "__low").drop("__low") if (w, h) != (width, height) else forward_2d(df, keys, kind)
     return df
 
 
 def reconstruct(df: DataFrame, keys: Sequence[str], width: int, height: int, levels: int, kind: str = "53", stop: int = 0) -> DataFrame:
-    """Undo decompose; with stop > 0 the low band of that level, for a smaller picture."""
+    """Undo decompose, each level once, in two exchanges; with stop > 0 the low band of that level, for a smaller picture."""
     at = sizes(width, height, levels)
     for w, h in reversed(at[stop:]):
         low = (F.col("x") < w) & (F.col("y") < h)
-        df = inverse_2d(df.where(low), keys, kind).unionByName(df.where(~low)) if (w, h) != (width, height) else inverse_2d(df, keys, kind)
+        df = inverse_2d(df.withColumn("__low", low), keys, kind, "__low").drop("__low") if (w, h) != (width, height) else inverse_2d(df, keys, kind)
     if stop:
         w, h = ((at[stop - 1][0] + 1) // 2, (at[stop - 1][1] + 1) // 2)
         df = df.where((F.col("x") < w) & (F.col("y") < h))

@@ -136,18 +136,19 @@ def dwt97_plane_identity(spark, d):
     return out.withColumn("v", _rounded(F.col("v")))
 
 
-def _levels(src: str) -> str:
-    for n in (8, 4, 2):
-        inside, outside = f"(SELECT * FROM {src} WHERE x < {n} AND y < {n})", f"SELECT image_id, y, x, v FROM {src} WHERE NOT (x < {n} AND y < {n})"
-        src = f"(SELECT image_id, y, x, v FROM {_fwd2(inside)} UNION ALL {outside})"
-    return src
-
-
-@query(
-    f"WITH p AS (SELECT * FROM {EMB_PLANE}), l1 AS (SELECT image_id, y, x, v FROM {_fwd2('p')}), l2 AS (SELECT image_id, y, x, v FROM {_fwd2('(SELECT * FROM l1 WHERE x < 4 AND y < 4)')}"
-    f" UNION ALL SELECT image_id, y, x, v FROM l1 WHERE NOT (x < 4 AND y < 4)) SELECT image_id, y, x, v FROM {_fwd2('(SELECT * FROM l2 WHERE x < 2 AND y < 2)')}"
-    " UNION ALL SELECT image_id, y, x, v FROM l2 WHERE NOT (x < 2 AND y < 2)"
-)
+def _levels() -> str:
+    """Three levels, one step of one level after another."""
+    steps, low = [f"p AS MATERIALIZED (SELECT image_id, y, x, v FROM {EMB_PLANE})"], "p"
+    for i, n in enumerate((8, 4, 2)):
+        if i:
+            steps.append(f"low{i} AS MATERIALIZED (SELECT * FROM l{i - 1} WHERE x < {n} AND y < {n})")
+            low = f"low{i}"
+        steps.append(f"r{i} AS MATERIALIZED (SELECT image_id, y, x, v FROM {_fwd(low, 'image_id, y', 'x')})")
+        steps.append(f"l{i} AS MATERIALIZED (SELECT image_id, y, x, v FROM {_fwd(f'r{i}', 'image_id, x', 'y')})")
+    return f"WITH {', '.join(steps)} SELECT * FROM l0 WHERE x >= 4 OR y >= 4 UNION ALL SELECT * FROM l1 WHERE x >= 2 OR y >= 2 UNION ALL SELECT * FROM l2"
+
+
+@query(_levels())
 def dwt53_multilevel(spark, d):
     return wavelet.decompose(emb_plane(spark, d), ["image_id"], 8, 8, 3)
 

@@ -96,6 +96,11 @@ def stuffed_byte_positions(spark, d):
 
 # ---------------------------------------------------------------- headers
 
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    """Rows, none too, as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+
 _PART = "(SELECT p_partkey AS id, p_size * 16 + 3 AS w, p_size * 9 + 5 AS h, p_partkey % 4 + 1 AS n, p_partkey % 16 + 1 AS p, p_partkey % 6 AS l FROM part)"
 
 
@@ -108,25 +113,32 @@ def _hex(c, digits: int):
     return F.lpad(F.hex(c), digits, "0")
 
 
-def _siz_hex():
-    whole = ["w", "h", None, None, "w", "h", None, None]
-    parts = [F.lit("FF51"), _hex(F.col("n") * 3 + 38, 4), F.lit("0000"), *[_hex(F.col(c), 8) if c else F.lit("00000000") for c in whole], _hex(F.col("n"), 4)]
-    return F.concat(*parts, F.repeat(F.concat(_hex(F.col("p") - 1, 2), F.lit("0101")), F.col("n")))
+def _headers(df, fn, schema: str, kinds: tuple, names: list[str]):
+    """(id, w, h, n, p, l) -> what fn tells of each row, of a header that the library writes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([fn(*x) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)], kinds, names)
+
+    return df.mapInArrow(run, schema)
 
 
 @query(f"SELECT id, 'FF51' || printf('%04X', 38 + 3 * n) || '0000' || printf('%08X%08X', w, h) || '0000000000000000' || printf('%08X%08X', w, h) || '0000000000000000' || printf('%04X', n) || repeat(printf('%02X', p - 1) || '0101', CAST(n AS INT)) AS segment FROM {_PART}")
 def siz_write(spark, d):
-    return _parts(spark, d).select("id", _siz_hex().alias("segment"))
+    def segment(k, w, h, n, p, levels):
+        head = cs.write_header(w, h, (w, h), [(p, False)] * n, levels)
+        return k, head[2 : 4 + int.from_bytes(head[4:6], "big")].hex().upper()
+
+    return _headers(_parts(spark, d), segment, "id long, segment string", (pa.int64(), pa.string()), ["id", "segment"])
 
 
 @query(f"SELECT id, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(n AS INT) AS components, CAST(p AS INT) AS bits FROM {_PART}")
 def siz_parse(spark, d):
-    s = _parts(spark, d).select("id", _siz_hex().alias("s"))
+    def parsed(k, w, h, n, p, levels):
+        got = cs.main_header(cs.write_header(w, h, (w, h), [(p, False)] * n, levels) + cs.tile_part(0, b""))
+        return k, got.width, got.height, len(got.components), got.components[-1]["precision"]
 
-    def number(at: int, digits: int):
-        return F.conv(F.substring("s", at, digits), 16, 10)
-
-    return s.select("id", number(13, 8).cast("long").alias("width"), number(21, 8).cast("long").alias("height"), number(77, 4).cast("int").alias("components"), (number(81, 2).cast("int") + 1).alias("bits"))
+    return _headers(_parts(spark, d), parsed, "id long, width long, height long, components int, bits int", (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["id", "width", "height", "components", "bits"])
 
 
 def _header_files(rows):
@@ -135,19 +147,19 @@ def _header_files(rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for _, w, h, n, p, levels in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for k, w, h, n, p, levels in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 head = cs.write_header(w, h, (128, 96), [(p, p % 2 == 0)] * n, levels, comment=f"{w} x {h}")
                 tlm = cs.segment(cs.TLM, bytes([0, 0x50]) + b"".join(bytes([i]) + (14 + i * n).to_bytes(4, "big") for i in range(levels + 1)))
                 stream = head + tlm + cs.tile_part(0, b"") + b"\xff\xd9"
-                out.append(cs.wrap(stream, w, h, n, p, (16, 17, 18, 12)[n - 1]) if w % 2 else stream)
+                out.append(cs.wrap(stream, w, h, n, p, (16, 17, 18, 12)[n - 1]) if k % 2 else stream)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "content"])
 
     return rows.mapInArrow(run, "id long, content binary")
 
 
 @query(
-    f"""SELECT id, CASE WHEN w % 2 = 1 THEN 'JP2' ELSE 'J2K' END AS format, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(n AS INT) AS num_components, CAST(p AS INT) AS bits, p % 2 = 0 AS signed,
- CAST(CASE WHEN w % 2 = 0 THEN 0 WHEN n = 1 THEN 1 WHEN n = 2 THEN 2 WHEN n = 3 THEN 3 ELSE 5 END AS INT) AS colour_space, CAST(l + 1 AS INT) AS num_resolutions, CAST((w + 127) // 128 AS BIGINT) AS tiles_x,
+    f"""SELECT id, CASE WHEN id % 2 = 1 THEN 'JP2' ELSE 'J2K' END AS format, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(n AS INT) AS num_components, CAST(p AS INT) AS bits, p % 2 = 0 AS signed,
+ CAST(CASE WHEN id % 2 = 0 THEN 0 WHEN n = 1 THEN 1 WHEN n = 2 THEN 2 WHEN n = 3 THEN 3 ELSE 5 END AS INT) AS colour_space, CAST(l + 1 AS INT) AS num_resolutions, CAST((w + 127) // 128 AS BIGINT) AS tiles_x,
  CAST((h + 95) // 96 AS BIGINT) AS tiles_y, w || ' x ' || h AS comment FROM {_PART}"""
 )
 def metadata_scan(spark, d):
@@ -155,10 +167,10 @@ def metadata_scan(spark, d):
     return m.select("id", "format", "width", "height", "num_components", F.col("bits")[0].alias("bits"), F.col("signed")[0].alias("signed"), "colour_space", "num_resolutions", "tiles_x", "tiles_y", "comment")
 
 
-@query(f"SELECT id, CAST(unnest([0, 12, 32, 77]) AS BIGINT) AS \"offset\", unnest(['jP  ', 'ftyp', 'jp2h', 'jp2c']) AS type FROM {_PART} WHERE w % 2 = 1")
+@query(f"SELECT id, CAST(unnest([0, 12, 32, 77]) AS BIGINT) AS \"offset\", unnest(['jP  ', 'ftyp', 'jp2h', 'jp2c']) AS type FROM {_PART} WHERE id % 2 = 1")
 def box_walk(spark, d):
-    files = _header_files(_parts(spark, d).where("w % 2 = 1"))
-    return cs.read_boxes(files, "id").select("id", "offset", "type")
+    files = _header_files(_parts(spark, d))  # raw codestreams, every second one, have no boxes
+    return cs.read_boxes(files, "id").where("type is not null").select("id", "offset", "type")
 
 
 @query(f"SELECT id, CAST(i AS INT) AS tile, CAST(14 + i * n AS BIGINT) AS length FROM (SELECT *, unnest(range(l + 1)) AS i FROM {_PART})")
@@ -169,7 +181,7 @@ def tlm_explode(spark, d):
             for k, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 stream = next((c for _, name, c in cs.boxes(data) if name == "jp2c"), b"") if cs.sniff(data) == "JP2" else data
                 rows += [(k, t, n) for t, n in cs.main_header(stream).tile_lengths]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "tile", "length"])
+            yield _batch(rows, (pa.int64(), pa.int32(), pa.int64()), ["id", "tile", "length"])
 
     return _header_files(_parts(spark, d)).mapInArrow(run, "id long, tile int, length long")
 
@@ -178,9 +190,19 @@ def tlm_explode(spark, d):
     "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'no image area' WHEN p_partkey % 7 = 0 THEN 'number of components' WHEN p_partkey % 41 > 38 OR p_partkey % 41 = 0 THEN 'precision' END AS why FROM part"
 )
 def header_validate(spark, d):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    why = F.when(s % 5 == 0, "no image area").when(k % 7 == 0, "number of components").when(~(k % 41).between(1, 38), "precision")
-    return table(spark, d, "part").select(k.alias("id"), why.alias("why"))
+    def why(k, size):
+        p = k % 41 or 128  # the field holds 1 to 128
+        head = cs.write_header(size % 5, 7, (128, 96), [(p, False)], 1)
+        if k % 7 == 0:  # no component: the segment without its last three bytes
+            head = head[:2] + cs.segment(cs.SIZ, head[6:40] + bytes(2)) + head[45:]
+        try:
+            cs.main_header(head + cs.tile_part(0, b""))
+        except cs.BadFile as e:
+            return k, str(e)
+        return k, None
+
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return _headers(t, why, "id long, why string", (pa.int64(), pa.string()), ["id", "why"])
 
 
 _SPACES = ", ".join(f"({k}, {v[0]}, '{v[1]}')" for k, v in cs.COLOUR_SPACES.items())
@@ -214,7 +236,7 @@ def _mapped(df, fn):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(k, i, x) for k, v in zip(*[c.to_pylist() for c in b.columns], strict=True) for i, x in enumerate(fn(v))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["user_id", "i", "v"])
+            yield _batch(rows, (pa.int64(), pa.int32(), pa.int32()), ["user_id", "i", "v"])
 
     return df.mapInArrow(run, "user_id long, i int, v int")
 
@@ -248,7 +270,7 @@ def t1_identity(spark, d):
                 planes, code = coder.encode_block(np.array(data).reshape(h, w), band)
                 a = coder.decode_block(code, planes, w, h, band)
                 rows += [(i, by * 8 + y, bx * 8 + x, int(a[y, x])) for y in range(h) for x in range(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.int32()] * 3), strict=True)], names=["image_id", "y", "x", "v"])
+            yield _batch(rows, (pa.int64(), *[pa.int32()] * 3), ["image_id", "y", "x", "v"])
 
     return blocks.mapInArrow(run, "image_id long, y int, x int, v int")
 

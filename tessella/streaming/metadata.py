@@ -11,13 +11,13 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 
 
 def stream_metadata(spark: SparkSession, folder: str, *, late: str = "1 hour") -> DataFrame:
-    """A stream of (path, arrived, metadata); each file is read once, and `arrived` carries a watermark."""
+    """A stream of (path, arrived, metadata); each file is read once, and `arrived`, parsed back from the key, carries a watermark."""
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder)
-    kept = files.withWatermark("modificationTime", late)
     key = F.struct("path", "modificationTime").alias("key")
-    got = read_metadata(kept.select(F.to_json(key).alias("key"), "content"), "key")
+    got = read_metadata(files.select(F.to_json(key).alias("key"), "content"), "key")
     parsed = F.from_json("key", "path string, modificationTime timestamp")
-    return got.withColumn("k", parsed).select(F.col("k.path").alias("path"), F.col("k.modificationTime").alias("arrived"), *[c for c in got.columns if c != "key"])
+    out = got.withColumn("k", parsed).select(F.col("k.path").alias("path"), F.col("k.modificationTime").alias("arrived"), *[c for c in got.columns if c != "key"])
+    return out.withWatermark("arrived", late)
 
 
 def count_formats(stream: DataFrame) -> DataFrame:

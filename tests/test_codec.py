@@ -106,3 +106,10 @@ def test_sources(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.format, r.files, r.pixels) for r in spark.table("formats").collect()} == {("JP2", 2, 40), ("J2K", 1, 20), (None, 1, None)}
+    from pyspark.sql import functions as F
+
+    windows = stream_metadata(spark, str(tmp_path)).groupBy(F.window("arrived", "1 hour")).count()  # append mode asks for the watermark
+    query = windows.writeStream.outputMode("append").format("memory").queryName("windows").start()
+    query.processAllAvailable()
+    query.stop()
+    assert query.exception() is None

@@ -38,6 +38,20 @@ def test_window_form_has_one_exchange_and_no_python(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
+def test_three_levels_run_six_exchanges(spark):
+    for name, most in (("dwt53_multilevel", 6), ("dwt53_multilevel_identity", 12)):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most and "Union" not in plan
+
+
+def test_empty_batches(spark, tmp_path):
+    """Tables without rows give results without rows."""
+    for name in ("part", "orders", "embeddings"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("tlm_explode", "siz_write", "siz_parse", "header_validate", "metadata_scan", "t1_identity", "dwt53_multilevel"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
