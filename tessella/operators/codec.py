@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,11 +127,27 @@ def _tiles(w: int, h: int, side: int) -> list[tuple[int, int, int, int]]:
     return [(x, y, min(x + side, w), min(y + side, h)) for y in range(0, h, side) for x in range(0, w, side)]
 
 
+def step_field(step: float, precision: int) -> int:
+    """A quantiser step as QCD holds it: 5 bits of exponent e and 11 of mantissa m, step = 2^(precision - e) * (1 + m / 2048); the nearest there is."""
+    power = math.floor(math.log2(step))
+    m = round((step / 2.0**power - 1) * 2048)
+    power, m = (power + 1, 0) if m == 2048 else (power, m)
+    if not 0 <= precision - power <= 31:
+        raise ValueError("a quantiser step beyond what the header can hold")
+    return (precision - power) << 11 | m
+
+
+def field_step(mantissa: int, exponent: int, precision: int) -> float:
+    return 2.0 ** (precision - exponent) * (1 + mantissa / 2048)
+
+
 def encode(planes: np.ndarray, precision: int, signed: bool = False, o: Options = Options()) -> bytes:
     """A file of planes[component, y, x]. Every tile is coded alone."""
     n, h, w = planes.shape
     mct = o.mct and n >= 3
-    stream = cs.write_header(w, h, (o.tile, o.tile), [(precision, signed)] * n, o.levels, (o.block, o.block), o.reversible, mct=mct, comment=o.comment)
+    field = step_field(o.step, precision)
+    step = field_step(field & 2047, field >> 11, precision)
+    stream = cs.write_header(w, h, (o.tile, o.tile), [(precision, signed)] * n, o.levels, (o.block, o.block), o.reversible, mct=mct, comment=o.comment, steps=[field] * (3 * o.levels + 1))
     depth = precision + 8 if o.reversible else 37
     for t, (x0, y0, x1, y1) in enumerate(_tiles(w, h, o.tile)):
         a = planes[:, y0:y1, x0:x1].astype(np.int64)
@@ -138,7 +156,7 @@ def encode(planes: np.ndarray, precision: int, signed: bool = False, o: Options
         a = forward_components(a, o.reversible) if mct else a
         c = wavelet.np_decompose(a, o.levels, "53" if o.reversible else "97")
         if not o.reversible:
-            c = (np.sign(c) * np.floor(np.abs(c) / o.step + 0.5)).astype(np.int64)
+            c = (np.sign(c) * np.floor(np.abs(c) / step + 0.5)).astype(np.int64)
         out = b""
         for i in range(n):
             for band, blocks in _blocks(x1 - x0, y1 - y0, o.levels, 1 << o.block):
@@ -148,14 +166,15 @@ def encode(planes: np.ndarray, precision: int, signed: bool = False, o: Options
     return cs.wrap(stream, w, h, n, precision, 16 if n >= 3 else 17) if o.jp2 else stream
 
 
-def decode(data: bytes, step: float = 1 / 16) -> tuple[np.ndarray, int]:
-    """planes[component, y, x] and their precision."""
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """planes[component, y, x] and their precision; the quantiser step is the file's."""
     if cs.sniff(data) == "JP2":
         data = next(content for _, name, content in cs.boxes(data) if name == "jp2c")
     h = cs.main_header(data)
     n, precision, signed = len(h.components), h.components[0]["precision"], h.components[0]["signed"]
     reversible, levels, side = h.style["wavelet"] == 1, h.style["levels"], h.style["block_width"]
     depth = precision + 8 if reversible else 37
+    step = 1.0 if reversible else field_step(*h.quantization["steps"][0], precision)
     out = np.zeros((n, h.height, h.width), np.int64)
     tiles = _tiles(h.width, h.height, h.tile_width)
     for t, _, _, body in cs.tile_parts(data, h):
@@ -205,17 +224,21 @@ def encode_images(images: DataFrame, precision: int, options: Options = Options(
     return images.select("id", "width", "height", "components", "data").mapInArrow(run, "id long, content binary")
 
 
-def decode_images(files: DataFrame, step: float = 1 / 16) -> DataFrame:
-    """(id, content) -> (id, width, height, components, data)."""
+def decode_images(files: DataFrame) -> DataFrame:
+    """(id, content) -> (id, width, height, components, data, error): a file that cannot be read has nulls and the reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, content in zip(*b.columns, strict=True):
-                a, _ = decode(content.as_py(), step)
-                n, h, w = a.shape
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), *[pa.array([x], pa.int32()) for x in (w, h, n)], pa.array([a.ravel()], pa.list_(pa.int32()))], names=["id", "width", "height", "components", "data"])
-
-    return files.select("id", "content").mapInArrow(run, "id long, width int, height int, components int, data array<int>")
+                why, shape, samples = None, (None, None, None), None
+                try:
+                    a, _ = decode(content.as_py() or b"")
+                    shape, samples = a.shape[::-1], a.ravel()
+                except (cs.BadFile, ArithmeticError, LookupError, TypeError, ValueError, StopIteration, struct.error) as e:
+                    why = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), *[pa.array([x], pa.int32()) for x in shape], pa.array([samples], pa.list_(pa.int32())), pa.array([why], pa.string())], names=["id", "width", "height", "components", "data", "error"])
+
+    return files.select("id", "content").mapInArrow(run, "id long, width int, height int, components int, data array<int>, error string")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

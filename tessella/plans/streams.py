@@ -285,3 +285,12 @@ def codec_lossless_identity(spark, d):
     back = codec.decode_images(codec.encode_images(_images(spark, d), 12, codec.Options(levels=2, tile=8, block=3)))
     p = back.select(F.col("id").alias("image_id"), F.posexplode("data").alias("p", "v"))
     return p.select("image_id", F.expr("int(p div 8)").alias("y"), (F.col("p") % 8).alias("x"), (F.col("v") - 2048).alias("v"))
+
+
+@query("SELECT vec_id AS id, true AS near FROM embeddings")
+def codec_lossy_error(spark, d):
+    """Quantised with a step of 3/10 no sample is off by more than 2."""
+    images = _images(spark, d)
+    back = codec.decode_images(codec.encode_images(images, 12, codec.Options(levels=2, tile=8, block=3, reversible=False, step=0.3)))
+    both = images.select("id", F.col("data").alias("a")).join(back.select("id", F.col("data").alias("b")), "id")
+    return both.select("id", (F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))) <= 2).alias("near"))

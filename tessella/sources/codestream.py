@@ -267,7 +267,11 @@ def main_header(data: bytes) -> Header:
 def tile_parts(data: bytes, main: Header) -> Iterator[tuple[int, int, Header, bytes]]:
     """(tile, part, its header, its data) of each tile-part."""
     at = main.end
-    while at + 2 <= len(data) and struct.unpack_from(">H", data, at)[0] == SOT:
+    while True:
+        if at + 2 > len(data):
+            raise BadFile("cut off")
+        if struct.unpack_from(">H", data, at)[0] != SOT:
+            return
         r = _Reader(data, at + 2)
         if r.take("H") != 10:
             raise BadFile("SOT length")
@@ -275,6 +279,8 @@ def tile_parts(data: bytes, main: Header) -> Iterator[tuple[int, int, Header, by
         h = Header(components=main.components)
         _until(r, h, SOD)
         end = at + size if size else len(data) - 2
+        if end > len(data) or r.at > end:
+            raise BadFile("cut off")
         yield tile, part, h, data[r.at : end]
         at = end
 

@@ -113,3 +113,20 @@ def test_sources(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert query.exception() is None
+
+
+@pytest.mark.parametrize("step", [1 / 64, 1 / 16, 1 / 4, 0.3, 1.0, 1.9999])
+def test_step_is_the_files(step):
+    a = np.random.default_rng(1).integers(0, 256, (1, 20, 24))
+    back, _ = codec.decode(codec.encode(a, 8, o=Options(reversible=False, step=step, levels=2)))
+    assert np.abs(back - a).max() <= 1 + 3 * step
+    field = codec.step_field(step, 8)
+    assert abs(codec.field_step(field & 2047, field >> 11, 8) / step - 1) < 1 / 2048
+
+
+def test_files_cut_short(spark):
+    whole = codec.encode(np.arange(400).reshape(1, 20, 20) % 256, 8)
+    rows = [(1, whole), (2, whole[:-40]), (3, whole[:60]), (4, b""), (5, None), (6, whole[:-2])]
+    got = {r.id: r for r in codec.decode_images(spark.createDataFrame(rows, "id long, content binary")).collect()}
+    assert got[1].error is None and list(got[1].data) == [i % 256 for i in range(400)]
+    assert all(got[i].error and got[i].data is None for i in (2, 3, 4, 5, 6))
