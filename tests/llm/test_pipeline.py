@@ -6,11 +6,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline as c
 from tessella.llm import quality as q
+from tessella.llm._base import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +77,20 @@ def test_classifier_keeps_clean_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = {r.doc_id for r in q.keep_good(docs, labels, q.fold() != 0).collect()}
     assert all(r.doc_id in kept for r in labels.where("quality = 1").collect())
+
+
+def test_stages_on_odd_rows(spark, docs, empty, crowded):
+    """Nulls, empty, long and repeated texts, columns of any name, and no rows at all, through every stage."""
+    names = ("_score", "own_doc_id", "gone_doc_id", "text_hash", "trusted", "half", "mix_hash", "key_id", "component")
+    wide = crowded.withColumns({n: F.lit(1) for n in names})
+    left = {}
+    for name, df in (("plain", docs), ("wide", wide), ("empty", empty)):
+        for stage, run in c.STAGES:
+            out = run(spark, df, SF)
+            if stage != "pack":
+                assert out.columns == df.columns
+                df = stored(out, f"odd-{name}-{stage}")
+            left[name, stage] = out.count() if stage == "pack" else df.count()
+    for stage, _ in c.STAGES:
+        assert left["plain", stage] == left["wide", stage] and left["empty", stage] == 0
+    assert docs.count() >= left["plain", "quality"] >= left["plain", "exact_dedup"] >= left["plain", "near_dedup"] > 0
