@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -295,6 +297,15 @@ def ranges(rows: DataFrame, chunk_pages: int) -> tuple[dict[str, list[tuple[str,
     return {h: [(r.path, r.url, r.row) for r in parts] for h, parts in by_host.items()}, sent
 
 
+def _closed(lines: list[str]) -> bytes:
+    """A page's lines as they are shuffled: squeezed page by page, which takes less room than a shuffle's own blocks do."""
+    return zlib.compress(json.dumps(lines, ensure_ascii=False).encode())
+
+
+def _opened(data: bytes) -> list[str]:
+    return json.loads(zlib.decompress(data))
+
+
 def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     """The main text of every page: page_id, url, text.
 
@@ -355,7 +366,6 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, sent, _ = edges.value
-        lists = pa.list_(pa.string())
         for b in batches:
             url, page, host, path, row, lone = (b.column(i).to_pylist() for i in range(1, 7))
             took, chunk, own = [], [], []
@@ -373,12 +383,12 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
                 chunk.append(at)
                 own.append(True)
             got = [page_lines(x) for x in page]
-            cols = [pa.array([[x[0] for x in lines] for lines in got], lists), pa.array([bytes(x[1] + 2 * x[2] + 4 * x[3] for x in lines) for lines in got], pa.binary())]
+            cols = [pa.array([_closed([x[0] for x in lines]) for lines in got], pa.binary()), pa.array([bytes(x[1] + 2 * x[2] + 4 * x[3] for x in lines) for lines in got], pa.binary())]
             whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), b.column(5), *cols], names=["page_id", "url", "host", "path", "row", "lines", "flags"])
             whole = whole.take(pa.array(took, pa.int64()))
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(chunk, pa.int32()), pa.array(own, pa.bool_())], names=[*whole.schema.names, "chunk", "own"])
 
-    keyed = rows.drop("large").mapInArrow(parse, f"page_id {kind}, url string, host string, path string, row long, lines array<string>, flags binary, chunk int, own boolean")
+    keyed = rows.drop("large").mapInArrow(parse, f"page_id {kind}, url string, host string, path string, row long, lines binary, flags binary, chunk int, own boolean")
 
     def compare(group: pa.Table, common: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -387,7 +397,7 @@ def main_text(pages: DataFrame, *, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
         counts = dict(zip(common.column("line").to_pylist(), common.column("count").to_pylist(), strict=True))
         having = None if n is None else (n, lambda x: counts.get(content([name, x]), 0))
         rows.sort(key=lambda r: (r["path"], r["url"] or "", r["row"]))
-        lines = [[(x, bool(f & 1), bool(f & 2), bool(f & 4)) for x, f in zip(r["lines"], r["flags"], strict=True)] for r in rows]
+        lines = [[(x, bool(f & 1), bool(f & 2), bool(f & 4)) for x, f in zip(_opened(r["lines"]), r["flags"], strict=True)] for r in rows]
         drops = difference([(r["path"], x) for r, x in zip(rows, lines, strict=True)], having) if name else [set()] * len(rows)
         texts = []
         for own, drop in zip(lines, drops, strict=True):
